@@ -41,7 +41,7 @@ def bin_right(c: Column | str, edges: Sequence[float], labels: Sequence[str]) ->
     """Intervals ``(edge[i], edge[i+1]]``; outside all of them, and NULL, give NULL."""
     x = _col(c)
     return first_match(
-        (((x > F.lit(lo)) & (x <= F.lit(hi)), label) for lo, hi, label in zip(edges, edges[1:], labels, strict=True))
+        (((x > F.lit(lo)) & (x <= F.lit(hi)), label) for lo, hi, label in zip(edges[:-1], edges[1:], labels, strict=True))
     )
 
 

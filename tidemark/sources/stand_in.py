@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import first_match
 from tidemark.functions.numeric import exact_avg, exact_sum
-from tidemark.operators.lifecycle import user_lifecycle
+from tidemark.operators.experiment import assign_variant, lifetime_value_segment
+from tidemark.operators.lifecycle import user_context, user_lifecycle, valid_users
+from tidemark.operators.market import fx_features
 from tidemark.operators.repeat import repeat_within
-from tidemark.operators.snapshots import build_snapshots, last_complete_month_end
+from tidemark.operators.snapshots import build_snapshots, last_complete_month_end, latest
+from tidemark.operators.targeting import targeting
 
 PAIRS = ("A", "N", "R")
 MAIN_PAIR = "N"
@@ -142,6 +145,44 @@ class ProductTables:
     def snapshots(self) -> DataFrame:
         return build_snapshots(self.tx, last_complete_month_end(self.tx))
 
+    @cached_property
+    def scores(self) -> DataFrame:
+        """A fixed score per snapshot, so rules and metrics can be checked apart from any fitted model."""
+        point = (F.col("user_id") * 37 + F.col("recency_days") * 11) % 101
+        return self.snapshots.select(
+            "user_id",
+            "observation_date",
+            "target_repeat_30d",
+            (point.cast("double") / 100).alias("repeat_probability"),
+            F.when(point >= 50, 1).otherwise(0).alias("predicted_repeat_30d"),
+        )
+
+    @cached_property
+    def latest_scores(self) -> DataFrame:
+        return latest(self.scores)
+
+    def targeting(self, rules: str) -> DataFrame:
+        return targeting(self.latest_scores, self.snapshots, user_context(self.mart), rules)
+
+    @cached_property
+    def trial(self) -> DataFrame:
+        """Valid users with a variant and three observed outcomes."""
+        ticketed = self.tickets.select("user_id").distinct().withColumn("ticketed", F.lit(1))
+        people = assign_variant(valid_users(self.mart), "user_id", "spring").join(ticketed, "user_id", "left")
+        return people.select(
+            "user_id",
+            "acquisition_channel",
+            lifetime_value_segment().alias("value_segment"),
+            "variant",
+            F.greatest("rate_alert_user_flag", "target_rate_user_flag").alias("feature_adoption_7d"),
+            F.col("activation_flag").alias("first_exchange_14d"),
+            F.coalesce("ticketed", F.lit(0)).alias("guardrail_event_30d"),
+        )
+
+    @cached_property
+    def fx_features(self) -> DataFrame:
+        return fx_features(self.fx_daily, MAIN_PAIR, PAIRS)
+
     @property
     def all(self) -> dict[str, DataFrame]:
         return {
