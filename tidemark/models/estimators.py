@@ -83,7 +83,7 @@ def forest(
 def boosted(
     features: Sequence[str],
     label: str,
-    rounds: int = 60,
+    rounds: int = 180,
     depth: int = 4,
     step: float = 0.06,
     sample: float = 0.85,

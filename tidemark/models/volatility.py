@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +67,17 @@ def quantile_regimes(
     return Regimes(QUANTILE_DEFINITION, "train_quantile", lo, hi, upper_is_high=upper_is_high)
 
 
-def kmeans_regimes(train: DataFrame, column: str = TARGET, k: int = 3, starts: int = 20, seed: int = 42) -> Regimes:
-    """One-dimensional k-means on training values, the best of several starts."""
+def kmeans_regimes(
+    train: DataFrame, column: str = TARGET, k: int = 3, starts: int = 20, seed: int = 42, parallelism: int = 8
+) -> Regimes:
+    """One-dimensional k-means on training values, the best of several starts fitted side by side."""
     vectors = VectorAssembler(inputCols=[column], outputCol="v", handleInvalid="skip").transform(train.select(column))
     vectors = vectors.persist()
     try:
-        runs = [KMeans(k=k, featuresCol="v", seed=seed + i).fit(vectors) for i in range(starts)]
+        vectors.count()
+        with ThreadPool(min(starts, parallelism)) as pool:
+            run = inheritable_thread_target(lambda s: KMeans(k=k, featuresCol="v", seed=s).fit(vectors))
+            runs = pool.map(run, range(seed, seed + starts))
     finally:
         vectors.unpersist()
     best = min(runs, key=lambda m: m.summary.trainingCost)

@@ -65,6 +65,30 @@ def missing_values(df: DataFrame, table: str) -> DataFrame:
     return issue(found, "missing_values", table, F.col("column"), "warning", MISSING_DETAIL)
 
 
+def scan_checks(df: DataFrame, table: str, conditions: Mapping[str, Column]) -> DataFrame:
+    """Missing values of every column and the row-level validity ``conditions`` of a table, in one scan."""
+    aggs, rows = [], []
+    for i, c in enumerate(df.columns):
+        aggs.append(F.count_if(_missing(df, c)).alias(f"m_{i}"))
+        rows.append(("missing_values", table, c, f"m_{i}", "warning", MISSING_DETAIL))
+    for i, (check, condition) in enumerate(conditions.items()):
+        aggs.append(F.count_if(condition).alias(f"v_{i}"))
+        rows.append((check, VALIDITY_TABLES, VALIDITY_COLUMN, f"v_{i}", "error", VALIDITY_DETAIL))
+    cells = [
+        F.struct(
+            F.lit(check).alias("check"),
+            F.lit(where).alias("table"),
+            F.lit(column).alias("column"),
+            F.col(count).alias("issue_count"),
+            F.lit(severity).alias("severity"),
+            F.lit(detail).alias("detail"),
+        )
+        for check, where, column, count, severity, detail in rows
+    ]
+    found = df.agg(*aggs).select(F.inline(F.array(*cells)))
+    return found.where((F.col("check") != "missing_values") | (F.col("issue_count") > 0))
+
+
 def count_issues(df: DataFrame, condition: Column) -> DataFrame:
     return df.agg(F.count_if(condition).alias("issue_count"))
 
@@ -175,14 +199,20 @@ def dq_report(
 ) -> DataFrame:
     """All checks as one report.  ``tables``: name to frame; users, events and transactions are required."""
     users, events, tx = tables["users"], tables["events"], tables["transactions"]
-    validity = {
-        "invalid_signup_date": bad_ts(users, "signup_timestamp"),
-        "invalid_event_date": bad_ts(events, "event_timestamp"),
-        "invalid_transaction_date": bad_ts(tx, "transaction_timestamp"),
+    row_checks = {
+        "users": {
+            "invalid_signup_date": unparseable("signup_timestamp"),
+            "invalid_acquisition_channel": not_in_domain("acquisition_channel", allowed_channels),
+        },
+        "events": {"invalid_event_date": unparseable("event_timestamp")},
+        "transactions": {
+            "invalid_transaction_date": unparseable("transaction_timestamp"),
+            "nonpositive_transaction_volume": F.col("transaction_amount_krw") <= 0,
+        },
+    }
+    across = {
         "activation_before_signup": order_violation(mart, "first_successful_transaction_at", "signup_timestamp"),
         "transaction_before_signup": tx_before_signup(tx, users),
-        "nonpositive_transaction_volume": nonpositive(tx, "transaction_amount_krw"),
-        "invalid_acquisition_channel": domain_violation(users, "acquisition_channel", allowed_channels),
     }
     outliers = iqr_outliers(tx, "transaction_amount_krw")
     told = F.concat(
@@ -190,7 +220,7 @@ def dq_report(
     )
     return union(
         [
-            *[missing_values(df, name) for name, df in tables.items()],
+            *[scan_checks(df, name, row_checks.get(name, {})) for name, df in tables.items()],
             issue(
                 dup_count(users, "user_id"),
                 "duplicate_user_id", "users", "user_id", "error", "Each user_id should identify one user.",
@@ -207,7 +237,7 @@ def dq_report(
             ),
             *[
                 issue(df, check, VALIDITY_TABLES, VALIDITY_COLUMN, "error", VALIDITY_DETAIL)
-                for check, df in validity.items()
+                for check, df in across.items()
             ],
             issue(
                 outliers,

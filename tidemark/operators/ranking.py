@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.plans.staging import staged
+
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 1_024
 TIE_RANGES = 32
@@ -23,10 +25,6 @@ BRACKET_ROWS = 100_000
 ACCURACY = 10_000
 
 
-def _cut_points(values) -> list[float]:
-    return sorted({float(v) for v in values or ()})
-
-
 def _range_of(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
     """Index of the half-open range [cut, next cut) a value lies in; NULL goes before all ranges."""
     if not cuts:
@@ -37,29 +35,35 @@ def _range_of(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> Da
     return placed.withColumn(out, F.when(F.col(column).isNull(), -1.0).otherwise(F.col(out))).drop(f"{out}_in")
 
 
+def _thin(cuts: Sequence | None, parts: int) -> list[float]:
+    """About ``parts - 1`` of the fetched cut points, evenly taken."""
+    cuts = list(cuts or ())
+    step = (len(cuts) + 1) / parts
+    return sorted({float(cuts[round(i * step) - 1]) for i in range(1, parts)}) if cuts else []
+
+
 def spread(df: DataFrame, by: str, tie: str | None = None, ranges: int | None = None) -> DataFrame:
     """Add ``_range``, a number that grows with ``(by, tie)`` and splits the rows into balanced parts.
 
     Rows equal to a cut form a range of their own, and where they are many (one value may hold a third of
-    the rows) that range is cut again by ``tie``.  Cuts are a bounded list of numbers fetched once.
+    the rows) that range is cut again by ``tie``.  One aggregation fetches the cuts, a bounded list of numbers.
     """
-    count = F.count(F.lit(1))
-    first = df.agg(count.alias("n")).head()["n"] if ranges is None else None
-    parts = ranges or max(2, min(MAX_RANGES, math.ceil(first / ROWS_PER_RANGE)))
-    inner = [i / parts for i in range(1, parts)]
-    fetch = [F.percentile_approx(F.col(by).cast("double"), inner, ACCURACY).alias("by")]
+
+    def quantiles(column: str, parts: int) -> Column:
+        return F.percentile_approx(F.col(column).cast("double"), [i / parts for i in range(1, parts)], ACCURACY)
+
+    fetch = [F.count(F.lit(1)).alias("n"), quantiles(by, MAX_RANGES).alias("by")]
     if tie is not None:
-        tie_parts = min(TIE_RANGES, parts)
-        tie_inner = [i / tie_parts for i in range(1, tie_parts)]
-        fetch.append(F.percentile_approx(F.col(tie).cast("double"), tie_inner, ACCURACY).alias("tie"))
-    cuts = df.agg(*fetch).head()
-    by_cuts = _cut_points(cuts["by"])
+        fetch.append(quantiles(tie, TIE_RANGES).alias("tie"))
+    found = df.agg(*fetch).head()
+    parts = ranges or max(2, min(MAX_RANGES, math.ceil(found["n"] / ROWS_PER_RANGE)))
+    by_cuts = _thin(found["by"], parts)
     placed = _range_of(df, by, by_cuts, "_by_range")
     at_cut = F.col(by).isNull() if not by_cuts else F.col(by).isNull() | F.col(by).cast("double").isin(by_cuts)
     width = 1
     inner_position = F.lit(0.0)
     if tie is not None:
-        placed = _range_of(placed, tie, _cut_points(cuts["tie"]), "_tie_range")
+        placed = _range_of(placed, tie, _thin(found["tie"], min(TIE_RANGES, parts)), "_tie_range")
         width = TIE_RANGES + 2
         inner_position = F.when(at_cut, F.col("_tie_range") + 1).otherwise(0.0)
     # Inside a by-range the rows equal to its lower cut come first, the rest after them.
@@ -81,8 +85,9 @@ def running_totals(
 
     ``totals`` maps an output column to a non-NULL numeric expression; ``grand`` maps an output column to
     the name of a total whose overall sum is wanted on every row.  ``(by, tie)`` must be distinct.
+    The rows are read three times (cuts, totals per range, order), so they are staged first.
     """
-    measured = df.withColumns({name: expr for name, expr in totals.items()})
+    measured = staged(df.withColumns(dict(totals)), "ranking")
     tagged = spread(measured, by, tie, ranges)
     direction = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_first())
     keys = [direction(by)] + ([direction(tie)] if tie else [])
@@ -141,12 +146,13 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     ).head()
     if not start["n"]:
         return [None for _ in probabilities]
+    n, full = start["n"], (start["low"], start["high"])
+    if n <= BRACKET_ROWS:
+        return _interpolated(values, full, 0, [(n - 1) * p for p in probabilities], n)
     out = []
     for i, p in enumerate(probabilities):
-        bracket = (start["low"], start["high"])
-        if start["n"] > BRACKET_ROWS:
-            bracket = (start["q"][2 * i], start["q"][2 * i + 1])
-        out.append(_quantile_in(values, start["n"], p, bracket, (start["low"], start["high"])))
+        bracket = (start["q"][2 * i], start["q"][2 * i + 1])
+        out.append(_quantile_in(values, n, p, bracket, full))
     return out
 
 
@@ -163,34 +169,36 @@ def _quantile_in(values: DataFrame, n: int, p: float, bracket: tuple, full: tupl
             # The approximate cut missed the rank: take the side it fell out on back to the extreme.
             low = full[0] if lower_rank < below else low
             high = full[1] if upper_rank >= below + inside else high
-            narrowed = (low, high)
-        elif inside <= BRACKET_ROWS or low == high:
+            continue
+        if inside <= BRACKET_ROWS or low == high:
             break
-        else:
-            want = [
-                max(0.0, (lower_rank - below) / inside - 4.0 / ACCURACY),
-                min(1.0, (upper_rank - below + 1) / inside + 4.0 / ACCURACY),
-            ]
-            cut = values.agg(F.percentile_approx(held, want, ACCURACY).alias("q")).head()["q"]
-            narrowed = (cut[0], cut[1])
-            if narrowed == (low, high):
-                # Two heavy values hold the bracket; grouping by value below leaves few rows.
-                break
-        low, high = narrowed
+        want = [
+            max(0.0, (lower_rank - below) / inside - 4.0 / ACCURACY),
+            min(1.0, (upper_rank - below + 1) / inside + 4.0 / ACCURACY),
+        ]
+        cut = values.agg(F.percentile_approx(held, want, ACCURACY).alias("q")).head()["q"]
+        if (cut[0], cut[1]) == (low, high):
+            # Heavy values hold both ends of the bracket; grouping by value leaves few rows.
+            break
+        low, high = cut[0], cut[1]
     if low == high:
         return low
-    inside_rows = values.where((F.col("x") >= low) & (F.col("x") <= high))
-    ladder = inside_rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return _interpolated(values, (low, high), below, [position], n)[0]
+
+
+def _interpolated(values: DataFrame, bracket: tuple, below: int, positions: Sequence[float], n: int) -> list[float]:
+    """Values at fractional positions, from the counted distinct values of a bracket with ``below`` rows under it."""
+    inside = values.where((F.col("x") >= bracket[0]) & (F.col("x") <= bracket[1]))
+    ladder = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(below)
-    picked = (
-        ladder.withColumn("upto", upto)
-        .agg(
-            F.min(F.when(F.col("upto") > lower_rank, F.col("x"))).alias("a"),
-            F.min(F.when(F.col("upto") > upper_rank, F.col("x"))).alias("b"),
-        )
-        .head()
-    )
-    return picked["a"] + (position - lower_rank) * (picked["b"] - picked["a"])
+    ranks = sorted({r for q in positions for r in (math.floor(q), min(math.floor(q) + 1, n - 1))})
+    first_above = [F.min(F.when(F.col("upto") > r, F.col("x"))).alias(f"r{r}") for r in ranks]
+    at = ladder.withColumn("upto", upto).agg(*first_above).head()
+    out = []
+    for q in positions:
+        a, b = at[f"r{math.floor(q)}"], at[f"r{min(math.floor(q) + 1, n - 1)}"]
+        out.append(a + (q - math.floor(q)) * (b - a))
+    return out
 
 
 def approx_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int = ACCURACY) -> list:

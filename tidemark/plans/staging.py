@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_written: dict[str, list[str]] = defaultdict(list)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +35,19 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _written[spark.sparkContext.applicationId].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_staged(spark: SparkSession) -> int:
+    """Delete the folders this application staged; call it when nothing reads them any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    return len(paths)
+
+
 def build_mart(mart: DataFrame, table: str, buckets: int | None = None, key: str = "user_id") -> DataFrame:
     """Save the user mart as a table, bucketed by user so later joins on it need no shuffle of the mart."""
     writer = mart.write.mode("overwrite").format("parquet")

@@ -95,8 +95,8 @@ def _regimes_sql(above: str) -> str:
 
 @query("l9_quantile_regimes", _regimes_sql(">"))
 def l9(t):
-    train, _ = splits.split_by_position(t.fx_features)
-    named = volatility.with_regime(t.fx_features, volatility.quantile_regimes(train))
+    train, _ = splits.split_by_position(t.fx_table)
+    named = volatility.with_regime(t.fx_table, volatility.quantile_regimes(train))
     return named.groupBy("actual_regime").agg(F.count(F.lit(1)).alias("dates"))
 
 
@@ -218,11 +218,14 @@ def u3(t):
     return t.snapshots.agg(F.lit(found).alias("issue_count"), F.count(F.lit(1)).alias("rows"))
 
 
-# Fitted models: their numbers depend on the learner, so there is no SQL to compare with.
+# Fitted models: their numbers depend on the learner, so there is no SQL to compare with.  Boosting here takes
+# fewer rounds than the operator's default, for every round is several passes one after the other.
+
+ROUNDS = 60
 
 
 def _repeat_train(t):
-    train, validation, _ = splits.split_by_dates(t.snapshots)
+    train, validation, _ = splits.split_by_dates(t.snapshot_table)
     return train, validation
 
 
@@ -245,14 +248,14 @@ def l5(t):
 
 @query("l6_boosted")
 def l6(t):
-    return _scored_sample(t, estimators.boosted(REPEAT_FEATURES, TARGET))
+    return _scored_sample(t, estimators.boosted(REPEAT_FEATURES, TARGET, rounds=ROUNDS))
 
 
 @query("l8_kmeans_regimes")
 def l8(t):
-    train, test = splits.split_by_position(t.fx_features)
+    train, test = splits.split_by_position(t.fx_table)
     regimes = volatility.kmeans_regimes(train)
-    named = volatility.with_regime(t.fx_features, regimes)
+    named = volatility.with_regime(t.fx_table, regimes)
     return named.groupBy("actual_regime").agg(F.count(F.lit(1)).alias("dates"))
 
 
@@ -265,16 +268,17 @@ def l16(t):
 
 @query("l17_repeat_champion")
 def l17(t):
-    return repeat.train_candidates(t.snapshots)[0]
+    boosted = {"Gradient Boosted Trees": lambda: estimators.boosted(REPEAT_FEATURES, TARGET, rounds=ROUNDS)}
+    return repeat.train_candidates(t.snapshot_table, {**repeat.CANDIDATES, **boosted})[0]
 
 
 def _fx_names(t):
-    return [c for c in market.columns_matching(t.fx_features) if c != market.TARGET]
+    return [c for c in market.columns_matching(t.fx_table) if c != market.TARGET]
 
 
 @query("l18_regime_comparison")
 def l18(t):
-    return volatility.compare_regimes(t.fx_features, _fx_names(t))[0]
+    return volatility.compare_regimes(t.fx_table, _fx_names(t))[0]
 
 
 @query("l19_best_per_definition")
@@ -282,21 +286,21 @@ def l19(t):
     """Both leaders of each definition, over logistic models."""
     names = _fx_names(t)
     quick = {"Logistic Regression": lambda: estimators.logistic(names, volatility.LABEL, max_iter=200)}
-    compared, _ = volatility.compare_regimes(t.fx_features, names, models=quick)
+    compared, _ = volatility.compare_regimes(t.fx_table, names, models=quick)
     return volatility.definition_comparison(compared)
 
 
 @query("l21_score_latest")
 def l21(t):
     """Refit on train and validation (L20), then score the newest snapshot."""
-    model = repeat.refit(repeat.CANDIDATES["Logistic Regression"], t.snapshots)
-    return repeat.score_latest(model, t.snapshots, 0.5)
+    model = repeat.refit(repeat.CANDIDATES["Logistic Regression"], t.snapshot_table)
+    return repeat.score_latest(model, t.snapshot_table, 0.5)
 
 
 @query("l22_regime_predictions")
 def l22(t):
     names = _fx_names(t)
-    train, test = splits.split_by_position(t.fx_features)
+    train, test = splits.split_by_position(t.fx_table)
     regimes = volatility.quantile_regimes(train)
     pipeline = estimators.logistic(names, volatility.LABEL, max_iter=200)
     model = estimators.fit(pipeline, volatility.with_regime(train, regimes), names, volatility.LABEL)
@@ -305,7 +309,7 @@ def l22(t):
 
 @query("l23_regime_metadata")
 def l23(t):
-    train, test = splits.split_by_position(t.fx_features)
+    train, test = splits.split_by_position(t.fx_table)
     fitted = [volatility.quantile_regimes(train), volatility.kmeans_regimes(train)]
     return volatility.regime_metadata(train, test, fitted, "lineitem")
 
@@ -313,7 +317,7 @@ def l23(t):
 @query("l24_mlp")
 def l24(t):
     names = _fx_names(t)
-    train, test = splits.split_by_position(t.fx_features)
+    train, test = splits.split_by_position(t.fx_table)
     regimes = volatility.quantile_regimes(train)
     model = estimators.fit(estimators.mlp(names, volatility.LABEL), volatility.with_regime(train, regimes), names, volatility.LABEL)
     return volatility.predictions(model, volatility.with_regime(test, regimes), names)

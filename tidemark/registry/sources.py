@@ -9,13 +9,13 @@ from tidemark.operators.repeat import repeat_rate
 from tidemark.plans.catalogue import Inputs, export_all
 from tidemark.plans.staging import shared_dir, staged
 from tidemark.registry.base import query
-from tidemark.schemas import _schema
+from tidemark.schemas import declare
 from tidemark.sources.extracts import load_extract
 from tidemark.sources.fx import normalise_names, source_profile, to_long
 from tidemark.sources.stand_in import MAIN_PAIR, PAIRS
 from tidemark.sources.tables import catalog_info, read_table, run_sql
 
-ORDERS = _schema(
+ORDERS = declare(
     "o_orderkey:long o_custkey:long o_orderstatus:string o_totalprice:double o_orderdate:ts o_orderpriority:string"
 )
 

@@ -14,42 +14,42 @@ _SPARK_TYPES = {
 }
 
 
-def _schema(spec: str) -> T.StructType:
+def declare(spec: str) -> T.StructType:
     fields = (part.split(":") for part in spec.split())
     return T.StructType([T.StructField(name, _SPARK_TYPES[kind], True) for name, kind in fields])
 
 
-USERS = _schema(
+USERS = declare(
     "user_id:long signup_timestamp:ts country:string city_type:string age_group:string device_os:string "
     "acquisition_channel:string campaign_id:string preferred_currency_pair:string kyc_status:string "
     "kyc_completed_at:ts bank_account_linked_at:ts"
 )
-EVENTS = _schema(
+EVENTS = declare(
     "event_id:long user_id:long session_id:string event_timestamp:ts event_name:string screen_name:string "
     "device_os:string currency_pair:string campaign_id:string"
 )
-TRANSACTIONS = _schema(
+TRANSACTIONS = declare(
     "transaction_id:long user_id:long transaction_timestamp:ts currency_pair:string transaction_type:string "
     "order_type:string transaction_amount_krw:double quoted_rate:double executed_rate:double "
     "fee_amount_krw:double cashback_krw:double transaction_status:string failure_reason:string "
     "processing_seconds:double market_regime_at_transaction:string"
 )
-FX_RATES_HOURLY = _schema(
+FX_RATES_HOURLY = declare(
     "timestamp:ts currency_pair:string open_rate:double high_rate:double low_rate:double close_rate:double "
     "log_return:double rolling_volatility_24h:double market_regime:string"
 )
-MARKETING_SPEND = _schema(
+MARKETING_SPEND = declare(
     "date:date campaign_id:string channel:string market:string spend_krw:double impressions:long clicks:long"
 )
-SUPPORT_TICKETS = _schema(
+SUPPORT_TICKETS = declare(
     "ticket_id:long user_id:long created_at:ts issue_type:string resolution_time_hours:double "
     "resolved_flag:int satisfaction_score:double"
 )
-SNAPSHOTS = _schema(
+SNAPSHOTS = declare(
     "user_id:long observation_date:date recency_days:int transactions_90d:long transactions_all:long "
     "total_volume_90d:double failed_ratio_90d:double target_repeat_30d:int"
 )
-FX_DAILY = _schema("pair:string date:date open:double high:double low:double close:double")
+FX_DAILY = declare("pair:string date:date open:double high:double low:double close:double")
 
 SOURCE_TABLES = {
     "users": USERS,

@@ -19,7 +19,23 @@ from tidemark.operators.market import fx_features
 from tidemark.operators.repeat import repeat_within
 from tidemark.operators.snapshots import build_snapshots, last_complete_month_end, latest
 from tidemark.operators.targeting import targeting
-
+from tidemark.plans.staging import staged
+from tidemark.schemas import declare
+from tidemark.sources.tables import read_table
+
+RAW_SCHEMAS = {
+    "customer": declare("c_custkey:long c_name:string c_nationkey:int c_acctbal:double c_mktsegment:string"),
+    "orders": declare(
+        "o_orderkey:long o_custkey:long o_orderstatus:string o_totalprice:double o_orderdate:ts "
+        "o_orderpriority:string"
+    ),
+    "lineitem": declare(
+        "l_orderkey:long l_partkey:long l_suppkey:long l_linenumber:int l_quantity:double l_extendedprice:double "
+        "l_discount:double l_tax:double l_returnflag:string l_linestatus:string l_shipdate:ts"
+    ),
+    "events": declare("event_id:long ts:ts user_id:long event_type:string value:double props:string"),
+    "conversations": declare("conv_id:long turn:long role:string text:string"),
+}
 PAIRS = ("A", "N", "R")
 MAIN_PAIR = "N"
 CHANNELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -34,7 +50,7 @@ class ProductTables:
         self.directory = directory.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return read_table(self.spark, self.directory, name, RAW_SCHEMAS[name])
 
     @cached_property
     def users(self) -> DataFrame:
@@ -145,11 +161,16 @@ class ProductTables:
     def snapshots(self) -> DataFrame:
         return build_snapshots(self.tx, last_complete_month_end(self.tx))
 
+    @cached_property
+    def snapshot_table(self) -> DataFrame:
+        """The snapshots as a written table, which is what scoring, targeting and training read."""
+        return staged(self.snapshots, "snapshots")
+
     @cached_property
     def scores(self) -> DataFrame:
         """A fixed score per snapshot, so rules and metrics can be checked apart from any fitted model."""
         point = (F.col("user_id") * 37 + F.col("recency_days") * 11) % 101
-        return self.snapshots.select(
+        return self.snapshot_table.select(
             "user_id",
             "observation_date",
             "target_repeat_30d",
@@ -162,7 +183,7 @@ class ProductTables:
         return latest(self.scores)
 
     def targeting(self, rules: str) -> DataFrame:
-        return targeting(self.latest_scores, self.snapshots, user_context(self.mart), rules)
+        return targeting(self.latest_scores, self.snapshot_table, user_context(self.mart), rules)
 
     @cached_property
     def trial(self) -> DataFrame:
@@ -183,6 +204,10 @@ class ProductTables:
     def fx_features(self) -> DataFrame:
         return fx_features(self.fx_daily, MAIN_PAIR, PAIRS)
 
+    @cached_property
+    def fx_table(self) -> DataFrame:
+        return staged(self.fx_features, "fx-features")
+
     @property
     def all(self) -> dict[str, DataFrame]:
         return {
