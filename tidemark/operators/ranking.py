@@ -21,7 +21,7 @@ ROWS_PER_RANGE = 200_000
 MAX_RANGES = 1_024
 TIE_RANGES = 32
 # A bracket this small is finished by one task.
-BRACKET_ROWS = 100_000
+BRACKET_ROWS = 1_000_000
 ACCURACY = 10_000
 
 
@@ -50,7 +50,8 @@ def spread(df: DataFrame, by: str, tie: str | None = None, ranges: int | None =
     """
 
     def quantiles(column: str, parts: int) -> Column:
-        return F.percentile_approx(F.col(column).cast("double"), [i / parts for i in range(1, parts)], ACCURACY)
+        inner = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
+        return F.expr(f"percentile_approx(cast(`{column}` AS double), array({inner}), {ACCURACY})")
 
     fetch = [F.count(F.lit(1)).alias("n"), quantiles(by, MAX_RANGES).alias("by")]
     if tie is not None:
@@ -133,7 +134,7 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
 
     ``percentile`` would hold every distinct value in one task.  Instead a bracket around each wanted rank
     is narrowed by approximate quantiles until few rows are left in it; each round is one aggregation over
-    the column and shrinks the bracket some thousandfold, and the last step orders what is left.
+    the column for all brackets and shrinks them some thousandfold, and the last step orders what is left.
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
     edge = 4.0 / ACCURACY
@@ -144,60 +145,87 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
         F.min("x").alias("low"),
         F.max("x").alias("high"),
     ).head()
-    if not start["n"]:
+    n = start["n"]
+    if not n:
         return [None for _ in probabilities]
-    n, full = start["n"], (start["low"], start["high"])
+    positions = [(n - 1) * p for p in probabilities]
+    full = (start["low"], start["high"])
     if n <= BRACKET_ROWS:
-        return _interpolated(values, full, 0, [(n - 1) * p for p in probabilities], n)
-    out = []
-    for i, p in enumerate(probabilities):
-        bracket = (start["q"][2 * i], start["q"][2 * i + 1])
-        out.append(_quantile_in(values, n, p, bracket, full))
-    return out
+        return _interpolated(values, [(*full, 0)], [0] * len(positions), positions, n)
+    around = [(start["q"][2 * i], start["q"][2 * i + 1]) for i in range(len(positions))]
+    brackets = _narrowed(values, around, full, positions, n)
+    return _interpolated(values, brackets, list(range(len(positions))), positions, n)
+
+
+def _ranks(position: float, n: int) -> tuple[int, int]:
+    low = math.floor(position)
+    return low, min(low + 1, n - 1)
+
+
+def _narrowed(values: DataFrame, around: list[tuple], full: tuple, positions: Sequence[float], n: int) -> list[tuple]:
+    """``(low, high, rows below low)`` per position, with both its ranks inside and few rows, or few values, in it."""
+    brackets = dict(enumerate(around))
+    settled: dict[int, tuple] = {}
 
+    def held(low: float, high: float) -> Column:
+        return F.when((F.col("x") >= low) & (F.col("x") <= high), F.col("x"))
 
-def _quantile_in(values: DataFrame, n: int, p: float, bracket: tuple, full: tuple) -> float:
-    position = (n - 1) * p
-    lower_rank = math.floor(position)
-    upper_rank = min(lower_rank + 1, n - 1)
-    low, high = bracket
-    while True:
-        held = F.when((F.col("x") >= low) & (F.col("x") <= high), F.col("x"))
-        seen = values.agg(F.count_if(F.col("x") < low).alias("below"), F.count(held).alias("inside")).head()
-        below, inside = seen["below"], seen["inside"]
-        if lower_rank < below or upper_rank >= below + inside:
-            # The approximate cut missed the rank: take the side it fell out on back to the extreme.
-            low = full[0] if lower_rank < below else low
-            high = full[1] if upper_rank >= below + inside else high
-            continue
-        if inside <= BRACKET_ROWS or low == high:
-            break
-        want = [
-            max(0.0, (lower_rank - below) / inside - 4.0 / ACCURACY),
-            min(1.0, (upper_rank - below + 1) / inside + 4.0 / ACCURACY),
+    while brackets:
+        counts = [
+            c
+            for i, (low, high) in brackets.items()
+            for c in (F.count_if(F.col("x") < low).alias(f"b{i}"), F.count(held(low, high)).alias(f"i{i}"))
         ]
-        cut = values.agg(F.percentile_approx(held, want, ACCURACY).alias("q")).head()["q"]
-        if (cut[0], cut[1]) == (low, high):
-            # Heavy values hold both ends of the bracket; grouping by value leaves few rows.
-            break
-        low, high = cut[0], cut[1]
-    if low == high:
-        return low
-    return _interpolated(values, (low, high), below, [position], n)[0]
-
-
-def _interpolated(values: DataFrame, bracket: tuple, below: int, positions: Sequence[float], n: int) -> list[float]:
-    """Values at fractional positions, from the counted distinct values of a bracket with ``below`` rows under it."""
-    inside = values.where((F.col("x") >= bracket[0]) & (F.col("x") <= bracket[1]))
-    ladder = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(below)
-    ranks = sorted({r for q in positions for r in (math.floor(q), min(math.floor(q) + 1, n - 1))})
-    first_above = [F.min(F.when(F.col("upto") > r, F.col("x"))).alias(f"r{r}") for r in ranks]
-    at = ladder.withColumn("upto", upto).agg(*first_above).head()
+        seen = values.agg(*counts).head()
+        wide = {}
+        for i, (low, high) in list(brackets.items()):
+            below, inside = seen[f"b{i}"], seen[f"i{i}"]
+            first, last = _ranks(positions[i], n)
+            if first < below or last >= below + inside:
+                # The approximate cut missed a rank: open the bracket on that side.
+                brackets[i] = (full[0] if first < below else low, full[1] if last >= below + inside else high)
+            elif inside <= BRACKET_ROWS or low == high:
+                settled[i] = (low, high, below)
+                del brackets[i]
+            else:
+                slack = 4.0 / ACCURACY
+                wide[i] = [max(0.0, (first - below) / inside - slack), min(1.0, (last - below + 1) / inside + slack)]
+        if wide:
+            cuts = [
+                F.percentile_approx(held(*brackets[i]), want, ACCURACY).alias(f"q{i}") for i, want in wide.items()
+            ]
+            found = values.agg(*cuts).head()
+            for i in wide:
+                cut = tuple(found[f"q{i}"])
+                if cut == brackets[i]:
+                    # Heavy values hold both ends; counting by value leaves few rows.
+                    settled[i] = (*cut, seen[f"b{i}"])
+                    del brackets[i]
+                else:
+                    brackets[i] = cut
+    return [settled[i] for i in range(len(around))]
+
+
+def _interpolated(
+    values: DataFrame, brackets: Sequence[tuple], bracket_of: Sequence[int], positions: Sequence[float], n: int
+) -> list[float]:
+    """Values at fractional positions, from the counted distinct values inside each bracket."""
+    inside = [
+        F.when((F.col("x") >= low) & (F.col("x") <= high), F.lit(b)) for b, (low, high, _) in enumerate(brackets)
+    ]
+    rows = values.select("x", F.explode(F.array_compact(F.array(*inside))).alias("b"))
+    ladder = rows.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("b").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))
+    wanted = {
+        (b, r): F.min(F.when((F.col("b") == b) & (F.col("upto") > r - brackets[b][2]), F.col("x"))).alias(f"r{b}_{r}")
+        for b, position in zip(bracket_of, positions)
+        for r in _ranks(position, n)
+    }
+    at = ladder.withColumn("upto", upto).agg(*wanted.values()).head()
     out = []
-    for q in positions:
-        a, b = at[f"r{math.floor(q)}"], at[f"r{min(math.floor(q) + 1, n - 1)}"]
-        out.append(a + (q - math.floor(q)) * (b - a))
+    for b, position in zip(bracket_of, positions):
+        low, high = (at[f"r{b}_{r}"] for r in _ranks(position, n))
+        out.append(low + (position - math.floor(position)) * (high - low))
     return out
 
 
