@@ -76,7 +76,9 @@ def kmeans_regimes(
     try:
         vectors.count()
         with ThreadPool(min(starts, parallelism)) as pool:
-            run = inheritable_thread_target(lambda s: KMeans(k=k, featuresCol="v", seed=s).fit(vectors))
+            run = inheritable_thread_target(train.sparkSession)(
+                lambda s: KMeans(k=k, featuresCol="v", seed=s).fit(vectors)
+            )
             runs = pool.map(run, range(seed, seed + starts))
     finally:
         vectors.unpersist()

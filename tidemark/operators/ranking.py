@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import staged
 
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 1_024
+MAX_RANGES = 4_096
 TIE_RANGES = 32
 # A bracket this small is finished by one task.
 BRACKET_ROWS = 1_000_000
-ACCURACY = 10_000
+ACCURACY = 20_000
 
 
 def _range_of(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
@@ -39,7 +39,8 @@ def _thin(cuts: Sequence | None, parts: int) -> list[float]:
     """About ``parts - 1`` of the fetched cut points, evenly taken."""
     cuts = list(cuts or ())
     step = (len(cuts) + 1) / parts
-    return sorted({float(cuts[round(i * step) - 1]) for i in range(1, parts)}) if cuts else []
+    taken = {float(cuts[round(i * step) - 1]) for i in range(1, parts)} if cuts else set()
+    return sorted(c for c in taken if math.isfinite(c))
 
 
 def spread(df: DataFrame, by: str, tie: str | None = None, ranges: int | None = None) -> DataFrame:
@@ -60,7 +61,9 @@ def spread(df: DataFrame, by: str, tie: str | None = None, ranges: int | None =
     parts = ranges or max(2, min(MAX_RANGES, math.ceil(found["n"] / ROWS_PER_RANGE)))
     by_cuts = _thin(found["by"], parts)
     placed = _range_of(df, by, by_cuts, "_by_range")
-    at_cut = F.col(by).isNull() if not by_cuts else F.col(by).isNull() | F.col(by).cast("double").isin(by_cuts)
+    at_cut = F.col(by).isNull()
+    if by_cuts:
+        at_cut = at_cut | F.expr(f"CAST(`{by}` AS double) IN ({', '.join(f'{c!r}D' for c in by_cuts)})")
     width = 1
     inner_position = F.lit(0.0)
     if tie is not None:

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tidemark.operators import funnel, regimes, repeat, retention, snapshots, value
+from tidemark.operators.lifecycle import user_lifecycle
+from tidemark.plans.staging import staged
 from tidemark.sources.extracts import write_extract
 
 
@@ -24,6 +26,14 @@ class Inputs:
     snapshots: DataFrame
 
 
+def prepare(
+    users: DataFrame, tx: DataFrame, events: DataFrame, rates: DataFrame, tickets: DataFrame, snapshot_rows: DataFrame
+) -> Inputs:
+    """Stage the mart and the repeat flags once, since most extracts read them."""
+    mart = staged(user_lifecycle(users, tx, events), "mart")
+    return Inputs(mart, tx, staged(repeat.repeat_within(tx), "repeat"), rates, tickets, snapshot_rows)
+
+
 EXPORTS: dict[str, Callable[[Inputs], DataFrame]] = {
     "product_funnel": lambda i: funnel.funnel(i.mart),
     "funnel_by_acquisition_channel": lambda i: funnel.funnel(i.mart, by=["acquisition_channel"]),
@@ -52,7 +62,7 @@ def export_all(
 ) -> dict[str, float | None]:
     """Write every extract of the catalogue; seconds per extract, None for one left as it was.
 
-    Pass a mart and repeat frame that are staged or persisted, since most extracts share them.
+    ``prepare`` makes the inputs, with the shared ones written once.
     """
     took: dict[str, float | None] = {}
     for name, build in exports.items():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import market, overview, snapshots
 from tidemark.operators.repeat import repeat_rate
-from tidemark.plans.catalogue import Inputs, export_all
+from tidemark.plans.catalogue import export_all, prepare
 from tidemark.plans.staging import shared_dir, staged
 from tidemark.registry.base import query
 from tidemark.schemas import declare
@@ -86,7 +86,7 @@ def s6(t):
 def s7(t):
     """Write the catalogue entry as CSV, read it back with its schema (S7, S8, S9)."""
     folder = f"{shared_dir(t.spark)}/extracts-{t.directory.rsplit('/', 1)[-1]}"
-    inputs = Inputs(t.mart, t.tx, t.repeat, t.rates, t.tickets, t.tx)
+    inputs = prepare(t.users, t.tx, t.events, t.rates, t.tickets, t.tx)
     only = {"d30_repeat_by_channel": lambda i: repeat_rate(i.mart, i.repeat)}
     export_all(inputs, folder, overwrite=True, exports=only)
     schema = "acquisition_channel string, first_exchange_users long, d30_repeat_users long, d30_repeat_rate double"

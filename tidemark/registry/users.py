@@ -114,10 +114,13 @@ def m8(t):
 
 @query(
     "j1_left_join",
-    """SELECT u.user_id, s.ticket_id FROM app_users u LEFT JOIN app_tickets s ON s.user_id = u.user_id""",
+    """SELECT u.user_id, s.n AS ticket_count FROM app_users u
+       LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM app_tickets GROUP BY 1) s ON s.user_id = u.user_id""",
 )
 def j1(t):
-    return t.users.select("user_id").join(t.tickets.select("user_id", "ticket_id"), "user_id", "left")
+    """As in the mart: facts become one row per user before the join."""
+    summary = repeat.ticket_summary(t.tickets).select("user_id", "ticket_count")
+    return t.users.select("user_id").join(summary, "user_id", "left")
 
 
 @query(
@@ -126,8 +129,9 @@ def j1(t):
        INNER JOIN app_tickets s ON s.user_id = u.user_id GROUP BY ALL""",
 )
 def j2(t):
-    joined = t.users.select("user_id", "acquisition_channel").join(t.tickets.select("user_id"), "user_id", "inner")
-    return joined.groupBy("acquisition_channel").agg(F.count(F.lit(1)).alias("tickets"))
+    counts = repeat.ticket_summary(t.tickets).select("user_id", "ticket_count")
+    joined = t.users.select("user_id", "acquisition_channel").join(counts, "user_id", "inner")
+    return joined.groupBy("acquisition_channel").agg(F.sum("ticket_count").alias("tickets"))
 
 
 @query("j3_inner_using", "SELECT user_id, f AS first_at, d30_repeat_flag FROM per_user JOIN repeats USING (user_id)")
