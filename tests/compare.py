@@ -1,11 +1,13 @@
 """Run a registered query and its SQL side by side.
 
-``python tests/compare.py <sf dir> [name ...]`` prints one line per query.
+``python tests/compare.py <sf dir> [name ...]`` prints one line per query; with PLAIN_SESSION=1 in a session
+without any of the library's settings.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -59,12 +61,17 @@ def compare(spark, con, directory: str, build, sql: str | None) -> tuple[bool, s
 
 
 if __name__ == "__main__":
+    from pyspark.sql import SparkSession
+
     from tidemark import registry
     from tidemark.session import build_session
 
-    session = build_session(
-        master="local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g"
-    )
+    if os.environ.get("PLAIN_SESSION"):
+        session = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        session = build_session(
+            master="local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g"
+        )
     session.sparkContext.setLogLevel("ERROR")
     where, wanted = sys.argv[1], sys.argv[2:]
     con = connect(where)

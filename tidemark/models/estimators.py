@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,14 +20,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
+# Training rows per task: a task is not worth starting for fewer, nor longer than needed for more.
+FEW_ROWS, MANY_ROWS = 15_000, 250_000
+TREE_MEMORY_MB = 1_024
 WEIGHT = "class_weight"
 
 
-def class_weights(df: DataFrame, label: str) -> dict[float, float]:
-    """Balanced weights ``n / (k * n_class)``; as many numbers as classes."""
-    counts = {float(r[label]): r["count"] for r in df.groupBy(label).count().collect()}
-    total = sum(counts.values())
-    return {c: total / (len(counts) * n) for c, n in counts.items()}
+def class_sizes(df: DataFrame, label: str) -> dict[float, int]:
+    """Rows per class; as many numbers as classes."""
+    return {float(r[label]): r["count"] for r in df.groupBy(label).count().collect()}
+
+
+def class_weights(df: DataFrame, label: str, sizes: Mapping[float, int] | None = None) -> dict[float, float]:
+    """Balanced weights ``n / (k * n_class)``."""
+    sizes = sizes or class_sizes(df, label)
+    total = sum(sizes.values())
+    return {c: total / (len(sizes) * n) for c, n in sizes.items()}
 
 
 def positive_weight(df: DataFrame, label: str) -> float:
@@ -75,7 +84,12 @@ def forest(
 ) -> Pipeline:
     """Random forest; depth is bounded because every level of a distributed tree is a pass over the data."""
     model = RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed
+        labelCol=label,
+        numTrees=trees,
+        maxDepth=depth,
+        minInstancesPerNode=min_leaf,
+        maxMemoryInMB=TREE_MEMORY_MB,
+        seed=seed,
     )
     return Pipeline(stages=[*_inputs(features, False), _weighted(model, weighted)])
 
@@ -111,9 +125,16 @@ def mlp(features: Sequence[str], label: str, hidden: Sequence[int] = (64, 32), c
 
 
 def fit(pipeline: Pipeline, train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
-    """Fit on weighted rows; the training frame is held once because every learner passes over it many times."""
+    """Fit on weighted rows.
+
+    Every learner passes over the training frame many times, so it is spread evenly over the cores and held.
+    """
     numeric = train.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label))
-    ready = with_weights(numeric, label).persist()
+    sizes = class_sizes(numeric, label)
+    cores, rows = train.sparkSession.sparkContext.defaultParallelism, sum(sizes.values())
+    parts = min(math.ceil(rows / FEW_ROWS), max(cores, math.ceil(rows / MANY_ROWS)))
+    weighted = with_weights(numeric, label, class_weights(numeric, label, sizes))
+    ready = weighted.repartition(parts).persist()
     try:
         return pipeline.fit(ready)
     finally:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import round_half_up
 from tidemark.operators import funnel, overview, regimes, repeat, retention, snapshots, targeting, value
+from tidemark.plans.catalogue import EXPORTS, Inputs
 from tidemark.registry.base import money, money_avg, pct, query, rnd
 
 _STAGES = {
@@ -233,6 +234,12 @@ def a16(t):
     return repeat.support_impact(t.mart, t.repeat, t.tickets)
 
 
+@query("s8_catalogue_entry", f"SELECT {_WIDE} FROM valid")
+def s8(t):
+    """An extract by its catalogue name."""
+    return EXPORTS["product_funnel"](Inputs(t.mart, t.tx, t.repeat, t.rates, t.tickets, t.tx))
+
+
 @query(
     "a17_snapshot_profile",
     f"""SELECT COUNT(*) AS snapshot_rows, COUNT(DISTINCT user_id) AS users,

@@ -452,6 +452,17 @@ def u1(t):
     return quality.union([tickets, t.users.select("user_id", F.lit("signup").alias("kind"))])
 
 
+@query(
+    "u2_concatenation",
+    """SELECT market_regime_at_transaction AS name, COUNT(*) AS n FROM app_tx GROUP BY 1
+       UNION ALL SELECT event_name, COUNT(*) FROM app_events GROUP BY 1
+       UNION ALL SELECT acquisition_channel, COUNT(*) FROM app_users GROUP BY 1""",
+)
+def u2(t):
+    parts = ((t.tx, "market_regime_at_transaction"), (t.events, "event_name"), (t.users, "acquisition_channel"))
+    return quality.union([df.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")) for df, c in parts])
+
+
 @query(
     "g4b_success_ratio",
     """SELECT user_id, CAST(COUNT(*) FILTER (WHERE NOT failed) AS DOUBLE)

@@ -74,6 +74,28 @@ def m2e(t):
     return t.mart.groupBy("onboarding_valid_flag", "activation_flag").agg(F.count(F.lit(1)).alias("users"))
 
 
+@query(
+    "m2d_zero_fill",
+    """SELECT user_id, successful_transaction_count, successful_transaction_volume, target_rate_user_flag,
+              rate_alert_user_flag FROM mart WHERE first_successful_transaction_at IS NULL""",
+)
+def m2d(t):
+    """Users without any success carry zeros, not NULLs."""
+    idle = t.mart.where(F.col("first_successful_transaction_at").isNull())
+    return idle.select(
+        "user_id",
+        "successful_transaction_count",
+        "successful_transaction_volume",
+        "target_rate_user_flag",
+        "rate_alert_user_flag",
+    )
+
+
+@query("m2f_activation", "SELECT user_id, activation_flag FROM mart")
+def m2f(t):
+    return t.mart.select("user_id", "activation_flag")
+
+
 @query("m3_first_time", "SELECT user_id, f AS first_transaction_at FROM per_user")
 def m3(t):
     return repeat.first_time(t.tx)
