@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join
+from tidemark.llm import blob_ledger, interleave, jaccard_join, line_rules, poisson_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,52 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _joined(spans, wanted: str | None = None):
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query(
+    "op3_interleaved_shards",
+    # Which shard a row goes to follows Spark's hash; SQL states what holds for every row.
+    None,
+)
+def _op3(spark: SparkSession, directory: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    slim = table(spark, directory, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = interleave.interleaved(slim, by="source", order=["doc_id", "text_crc32"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
+    )
+
+
+@query("op4_blob_ledger")
+def _op4(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    found = blob_ledger.scanned(docs, blob_ledger.BlobLedger(spark))
+    spans = F.col("secret_spans")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(spans), 256).alias("base_sha256"), _joined(spans).alias("spans")
+    )
+
+
 @query("op8_jaccard_join")
 def _op8(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, directory, "documents"))
+
+
+@query("op9_poisson_mix", poisson_mix.MIX_SQL)
+def _op9(spark: SparkSession, directory: str) -> DataFrame:
+    mixed = poisson_mix.poisson_mix(table(spark, directory, "documents"))
+    return mixed.select("doc_id", "source", "copy", "mix_key")
+
+
+@query("op10_line_rules")
+def _op10(spark: SparkSession, directory: str) -> DataFrame:
+    found = line_rules.line_first(table(spark, directory, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
