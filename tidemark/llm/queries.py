@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import blob_ledger, interleave, jaccard_join, line_rules, poisson_mix
+from tidemark.llm import blob_ledger, gamma_sampling, interleave, jaccard_join, line_rules, poisson_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,6 +59,11 @@ def _op4(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query("op6_gamma_sampling")
+def _op6(spark: SparkSession, directory: str) -> DataFrame:
+    return gamma_sampling.fingerprints(table(spark, directory, "documents"))
+
+
 @query("op8_jaccard_join")
 def _op8(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, directory, "documents"))
