@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import blob_ledger, gamma_sampling, interleave, jaccard_join, line_rules, poisson_mix
+from tidemark.llm import blob_ledger, gamma_sampling, interleave, jaccard_join, line_rules, poisson_mix, warc
+from tidemark.plans.staging import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +34,14 @@ def _joined(spans, wanted: str | None = None):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+@query("op1_warc")
+def _op1(spark: SparkSession, directory: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, directory, "pages"), path)
+    read = warc.read_warc(spark, path, blocks=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @query(
     "op3_interleaved_shards",
     # Which shard a row goes to follows Spark's hash; SQL states what holds for every row.
