@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import blob_ledger, gamma_sampling, interleave, jaccard_join, line_rules, poisson_mix, warc
+from tidemark.llm import blob_ledger, gamma_sampling, interleave, jaccard_join, line_rules, packing, poisson_mix, warc
 from tidemark.plans.staging import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ def _op4(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query("op5_best_two_fit")
+def _op5(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.packed_documents(table(spark, directory, "documents"))
+
+
 @query("op6_gamma_sampling")
 def _op6(spark: SparkSession, directory: str) -> DataFrame:
     return gamma_sampling.fingerprints(table(spark, directory, "documents"))
