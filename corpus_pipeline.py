@@ -3,23 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join
+from tidemark.llm import blob_ledger, jaccard_join, packing, poisson_mix, toxicity
 from tidemark.plans.staging import staged
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the scorer learns from the table ``labels`` of the same folder."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
     return jaccard_join.one_of_each_group(docs)
 
 
-STAGES = [("n-gram jaccard join", near_copies)]
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text, and n_chars follows; every document stays."""
+    found = blob_ledger.masked(docs, blob_ledger.BlobLedger(spark))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares: documents repeated or left out by Poisson counts, in a global random order."""
+    return poisson_mix.poisson_mix(docs).drop("copy", "mix_key")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every document and copy, with their place in a training sequence."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
 #: Scores of a trained model are no SQL; tests run the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each result but the last is written to the shared folder and read by the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = staged(stage(spark, docs, sf_dir), "corpus-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import blob_ledger, gamma_sampling, interleave, jaccard_join, line_rules, packing, poisson_mix, warc
+from tidemark.llm import blob_ledger, factorisation, gamma_sampling, interleave, jaccard_join, line_rules, packing, poisson_mix, toxicity, warc
 from tidemark.plans.staging import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,11 +42,12 @@ def _op1(spark: SparkSession, directory: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-@query(
-    "op3_interleaved_shards",
-    # Which shard a row goes to follows Spark's hash; SQL states what holds for every row.
-    None,
-)
+@query("op2_factorisation_machine")
+def _op2(spark: SparkSession, directory: str) -> DataFrame:
+    return factorisation.quality(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op3_interleaved_shards")
 def _op3(spark: SparkSession, directory: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = table(spark, directory, "documents").select(
@@ -79,6 +80,11 @@ def _op6(spark: SparkSession, directory: str) -> DataFrame:
     return gamma_sampling.fingerprints(table(spark, directory, "documents"))
 
 
+@query("op7_toxicity")
+def _op7(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
 @query("op8_jaccard_join")
 def _op8(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, directory, "documents"))
