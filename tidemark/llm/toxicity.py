@@ -154,14 +154,16 @@ def train(texts: list[str], labels: list[int]) -> Model:
     def model():
         return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
-    for epoch in range(WARM + min(MOST_EPOCHS, max(EPOCHS, LOOKS // len(texts)))):
+    more = max(1.0, min(MOST_EPOCHS / EPOCHS, LOOKS / (EPOCHS * len(texts))))
+    warm = round(WARM * more)
+    for epoch in range(warm + round(EPOCHS * more)):
         now = model()
         for i in draw.permutation(len(sorted_blocks)):
             b, buckets, cuts = sorted_blocks[i]
             n = len(b.text_of)
             if not n:
                 continue
-            if epoch < WARM:
+            if epoch < warm:
                 chosen = np.flatnonzero(draw.random(n) < 0.25)
             else:
                 runs = now.runs(b)
