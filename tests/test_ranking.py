@@ -72,23 +72,33 @@ def test_running_totals_descending(spark):
 
 
 @pytest.mark.parametrize("kind", ["spread", "ties", "hot", "nulls"])
-def test_exact_quantiles(spark, kind, monkeypatch):
+def test_exact_quantiles(spark, kind):
     values = series(kind, 997)
     known = np.array([v for v in values if v is not None])
     ps = [0.0, 0.01, 0.25, 0.33, 0.5, 0.75, 1.0]
     want = list(np.quantile(known, ps))
     assert ranking.exact_quantiles(frame(spark, values), "v", ps) == pytest.approx(want, abs=1e-12)
-    monkeypatch.setattr(ranking, "BRACKET_ROWS", 20)
-    assert ranking.exact_quantiles(frame(spark, values), "v", ps) == pytest.approx(want, abs=1e-12)
-
-
-def test_exact_quantiles_with_poor_cuts(spark, monkeypatch):
-    """Coarse approximate cuts only cost rounds, never exactness."""
-    monkeypatch.setattr(ranking, "BRACKET_ROWS", 30)
-    monkeypatch.setattr(ranking, "ACCURACY", 20)
-    values = series("hot", 1500)
-    want = list(np.quantile(np.array(values), [0.1, 0.5, 0.9]))
-    assert ranking.exact_quantiles(frame(spark, values), "v", [0.1, 0.5, 0.9]) == pytest.approx(want, abs=1e-12)
+    assert ranking.exact_quantiles(frame(spark, values), "v", ps, ranges=23) == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["long", "decimal", "text"])
+def test_rank_compares_in_the_columns_own_type(spark, kind):
+    """Values that are equal as doubles, and texts, are ordered as SQL orders them."""
+    made = {"long": "1152921504606846976 + id % 50", "decimal": "cast(12e18 as decimal(38,8)) + id % 50 / 1e6", "text": "hex(id % 50)"}
+    df = spark.range(2000).selectExpr("id", f"{made[kind]} AS v").repartition(5, "id")
+    df = df.withColumn("v", F.col("v").cast("decimal(38,8)")) if kind == "decimal" else df
+    df.createOrReplaceTempView("typed_input")
+    want = spark.sql("SELECT id, row_number() OVER (ORDER BY v, id) AS r FROM typed_input")
+    assert rows(ranking.global_rank(df, "v", "id", "r", ranges=8).select("id", "r")) == rows(want)
+
+
+def test_hot_value_takes_more_ranges_when_more_are_asked(spark):
+    values = [5.0 if i % 3 == 0 else float(i) for i in range(6000)]
+    sizes = []
+    for ranges in (12, 48):
+        counted = ranking.spread(frame(spark, values), "v", "id", ranges=ranges).groupBy("_range").count()
+        sizes.append(counted.agg(F.max("count")).head()[0])
+    assert sizes[1] < sizes[0] / 2
 
 
 def test_quantiles_of_nothing(spark):

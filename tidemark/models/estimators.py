@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
-# Training rows per task: a task is not worth starting for fewer, nor longer than needed for more.
-FEW_ROWS, MANY_ROWS = 15_000, 250_000
+#: Parts of the training rows.  Learners draw and add up part by part, so the number is fixed: the fitted model depends on
+#: the rows and on this number, not on cores, files or the number of rows.  Raise it for more than some 10**8 rows.
+FIT_PARTS = 8
 TREE_MEMORY_MB = 1_024
 WEIGHT = "class_weight"
 
@@ -124,17 +124,18 @@ def mlp(features: Sequence[str], label: str, hidden: Sequence[int] = (64, 32), c
     return Pipeline(stages=[*_inputs(features, True), model])
 
 
-def fit(pipeline: Pipeline, train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
+def fit(
+    pipeline: Pipeline, train: DataFrame, features: Sequence[str], label: str, parts: int = FIT_PARTS
+) -> PipelineModel:
     """Fit on weighted rows.
 
-    Every learner passes over the training frame many times, so it is spread evenly over the cores and held.
+    Every learner passes over the training frame many times, so it is dealt out by a hash of its rows, ordered, and held.
     """
     numeric = train.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label))
     sizes = class_sizes(numeric, label)
-    cores, rows = train.sparkSession.sparkContext.defaultParallelism, sum(sizes.values())
-    parts = min(math.ceil(rows / FEW_ROWS), max(cores, math.ceil(rows / MANY_ROWS)))
     weighted = with_weights(numeric, label, class_weights(numeric, label, sizes))
-    ready = weighted.repartition(parts).persist()
+    columns = [*features, label]
+    ready = weighted.repartition(parts, F.xxhash64(*columns)).sortWithinPartitions(*columns).persist()
     try:
         return pipeline.fit(ready)
     finally:

@@ -1,8 +1,8 @@
 """Global order without a single task: running totals, n-tiles and exact quantiles.
 
-``row_number().over(orderBy(x))`` without a partition sends every row to one task.  Here rows are first cut
-into value ranges at approximate quantiles, ordered inside each range in parallel, and shifted by the totals
-of the ranges before.  The cuts only balance the work: any cuts give the same result.
+``row_number().over(orderBy(x))`` without a partition sends every row to one task.  Here Spark's range partitioning
+deals the rows out in their own type's order, the parts are written, ordered inside each part in parallel, and shifted
+by the totals of the parts before.  Where the parts begin only balances the work: any cuts give the same result.
 """
 
 from __future__ import annotations
@@ -10,70 +10,28 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.plans.staging import staged
 
+#: The number of ranges follows the number of rows.
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 4_096
-TIE_RANGES = 32
-# A bracket this small is finished by one task.
-BRACKET_ROWS = 1_000_000
 ACCURACY = 20_000
 
 
-def _range_of(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
-    """Index of the half-open range [cut, next cut) a value lies in; NULL goes before all ranges."""
-    if not cuts:
-        return df.withColumn(out, F.when(F.col(column).isNull(), -1.0).otherwise(0.0))
-    splits = [-math.inf, *cuts, math.inf]
-    numeric = df.withColumn(f"{out}_in", F.col(column).cast("double"))
-    placed = Bucketizer(splits=splits, inputCol=f"{out}_in", outputCol=out, handleInvalid="keep").transform(numeric)
-    return placed.withColumn(out, F.when(F.col(column).isNull(), -1.0).otherwise(F.col(out))).drop(f"{out}_in")
-
-
-def _thin(cuts: Sequence | None, parts: int) -> list[float]:
-    """About ``parts - 1`` of the fetched cut points, evenly taken."""
-    cuts = list(cuts or ())
-    step = (len(cuts) + 1) / parts
-    taken = {float(cuts[round(i * step) - 1]) for i in range(1, parts)} if cuts else set()
-    return sorted(c for c in taken if math.isfinite(c))
-
-
 def spread(df: DataFrame, by: str, tie: str | None = None, ranges: int | None = None) -> DataFrame:
-    """Add ``_range``, a number that grows with ``(by, tie)`` and splits the rows into balanced parts.
+    """Write ``df`` with ``_range``, a number that grows with ``(by, tie)`` and splits the rows into balanced parts.
 
-    Rows equal to a cut form a range of their own, and where they are many (one value may hold a third of
-    the rows) that range is cut again by ``tie``.  One aggregation fetches the cuts, a bounded list of numbers.
+    Runs jobs at once.  Values are compared in their own type.  Rows that share ``by`` are split by ``tie``, so a
+    value that a third of the rows have takes a third of the ranges.  The input is computed once and written, as it
+    is read for its size, for the cuts and for dealing it out.
     """
-
-    def quantiles(column: str, parts: int) -> Column:
-        inner = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
-        return F.expr(f"percentile_approx(cast(`{column}` AS double), array({inner}), {ACCURACY})")
-
-    fetch = [F.count(F.lit(1)).alias("n"), quantiles(by, MAX_RANGES).alias("by")]
-    if tie is not None:
-        fetch.append(quantiles(tie, TIE_RANGES).alias("tie"))
-    found = df.agg(*fetch).head()
-    parts = ranges or max(2, min(MAX_RANGES, math.ceil(found["n"] / ROWS_PER_RANGE)))
-    by_cuts = _thin(found["by"], parts)
-    placed = _range_of(df, by, by_cuts, "_by_range")
-    at_cut = F.col(by).isNull()
-    if by_cuts:
-        at_cut = at_cut | F.expr(f"CAST(`{by}` AS double) IN ({', '.join(f'{c!r}D' for c in by_cuts)})")
-    width = 1
-    inner_position = F.lit(0.0)
-    if tie is not None:
-        placed = _range_of(placed, tie, _thin(found["tie"], min(TIE_RANGES, parts)), "_tie_range")
-        width = TIE_RANGES + 2
-        inner_position = F.when(at_cut, F.col("_tie_range") + 1).otherwise(0.0)
-    # Inside a by-range the rows equal to its lower cut come first, the rest after them.
-    position = F.col("_by_range") * 2 + F.when(at_cut, 0.0).otherwise(1.0)
-    spread_rows = placed.withColumn("_range", (position * width + inner_position).cast("long"))
-    return spread_rows.drop("_by_range", "_tie_range")
+    held = staged(df, "ranking-input")
+    parts = ranges or max(1, math.ceil(held.count() / ROWS_PER_RANGE))
+    keys = [F.col(c).asc_nulls_first() for c in (by, tie) if c is not None]
+    return staged(held.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()), "ranking")
 
 
 def running_totals(
@@ -89,14 +47,13 @@ def running_totals(
 
     ``totals`` maps an output column to a non-NULL numeric expression; ``grand`` maps an output column to
     the name of a total whose overall sum is wanted on every row.  ``(by, tie)`` must be distinct.
-    The rows are read three times (cuts, totals per range, order), so they are staged first.
+    Runs jobs at once: the rows are counted, written in ranges, and read for the totals of ranges and for the order.
     """
-    measured = staged(df.withColumns(dict(totals)), "ranking")
-    tagged = spread(measured, by, tie, ranges)
+    tagged = spread(df.withColumns(dict(totals)), by, tie, ranges)
     direction = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_first())
     keys = [direction(by)] + ([direction(tie)] if tie else [])
     inside = W.partitionBy("_range").orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
-    # One row per range: bounded by 2 * MAX_RANGES * (TIE_RANGES + 2), whatever the data.
+    # One row for each ROWS_PER_RANGE rows.
     per_range = tagged.groupBy("_range").agg(*[F.sum(n).alias(n) for n in totals])
     before = W.orderBy(direction("_range")).rowsBetween(W.unboundedPreceding, -1)
     overall = W.partitionBy()
@@ -105,7 +62,7 @@ def running_totals(
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
         *[F.sum(n).over(overall).alias(out) for out, n in (grand or {}).items()],
     )
-    joined = tagged.withColumns({n: F.sum(n).over(inside) for n in totals}).join(F.broadcast(offsets), "_range")
+    joined = tagged.withColumns({n: F.sum(n).over(inside) for n in totals}).join(offsets, "_range")
     shifted = joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in totals})
     return shifted.drop("_range", *[f"_before_{n}" for n in totals])
 
@@ -132,104 +89,30 @@ def ntile_scalable(
     return sized.withColumn(out, tile.cast("int")).drop("_rank", "_rows", "_size", "_extra")
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
-    """Quantiles with linear interpolation over the non-NULL values, as numbers.
+def exact_quantiles(
+    df: DataFrame, column: str, probabilities: Sequence[float], ranges: int | None = None
+) -> list[float | None]:
+    """Quantiles with linear interpolation over the non-NULL values, compared and returned as doubles.
 
-    ``percentile`` would hold every distinct value in one task.  Instead a bracket around each wanted rank
-    is narrowed by approximate quantiles until few rows are left in it; each round is one aggregation over
-    the column for all brackets and shrinks them some thousandfold, and the last step orders what is left.
+    Runs jobs at once.  ``percentile`` would hold every distinct value in one task.  Instead values are counted, a
+    value that many rows share becoming one row, and the counts are put in ranges; only the ranges that hold a wanted
+    rank are ordered, each by its own task.
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
-    edge = 4.0 / ACCURACY
-    asked = [q for p in probabilities for q in (max(0.0, p - edge), min(1.0, p + edge))]
-    start = values.agg(
-        F.count("x").alias("n"),
-        F.percentile_approx("x", asked, ACCURACY).alias("q"),
-        F.min("x").alias("low"),
-        F.max("x").alias("high"),
-    ).head()
-    n = start["n"]
+    ladder = spread(values.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "x", ranges=ranges)
+    n = ladder.agg(F.sum("n")).head()[0]
     if not n:
         return [None for _ in probabilities]
-    positions = [(n - 1) * p for p in probabilities]
-    full = (start["low"], start["high"])
-    if n <= BRACKET_ROWS:
-        return _interpolated(values, [(*full, 0)], [0] * len(positions), positions, n)
-    around = [(start["q"][2 * i], start["q"][2 * i + 1]) for i in range(len(positions))]
-    brackets = _narrowed(values, around, full, positions, n)
-    return _interpolated(values, brackets, list(range(len(positions))), positions, n)
-
-
-def _ranks(position: float, n: int) -> tuple[int, int]:
-    low = math.floor(position)
-    return low, min(low + 1, n - 1)
-
-
-def _narrowed(values: DataFrame, around: list[tuple], full: tuple, positions: Sequence[float], n: int) -> list[tuple]:
-    """``(low, high, rows below low)`` per position, with both its ranks inside and few rows, or few values, in it."""
-    brackets = dict(enumerate(around))
-    settled: dict[int, tuple] = {}
-
-    def held(low: float, high: float) -> Column:
-        return F.when((F.col("x") >= low) & (F.col("x") <= high), F.col("x"))
-
-    while brackets:
-        counts = [
-            c
-            for i, (low, high) in brackets.items()
-            for c in (F.count_if(F.col("x") < low).alias(f"b{i}"), F.count(held(low, high)).alias(f"i{i}"))
-        ]
-        seen = values.agg(*counts).head()
-        wide = {}
-        for i, (low, high) in list(brackets.items()):
-            below, inside = seen[f"b{i}"], seen[f"i{i}"]
-            first, last = _ranks(positions[i], n)
-            if first < below or last >= below + inside:
-                # The approximate cut missed a rank: open the bracket on that side.
-                brackets[i] = (full[0] if first < below else low, full[1] if last >= below + inside else high)
-            elif inside <= BRACKET_ROWS or low == high:
-                settled[i] = (low, high, below)
-                del brackets[i]
-            else:
-                slack = 4.0 / ACCURACY
-                wide[i] = [max(0.0, (first - below) / inside - slack), min(1.0, (last - below + 1) / inside + slack)]
-        if wide:
-            cuts = [
-                F.percentile_approx(held(*brackets[i]), want, ACCURACY).alias(f"q{i}") for i, want in wide.items()
-            ]
-            found = values.agg(*cuts).head()
-            for i in wide:
-                cut = tuple(found[f"q{i}"])
-                if cut == brackets[i]:
-                    # Heavy values hold both ends; counting by value leaves few rows.
-                    settled[i] = (*cut, seen[f"b{i}"])
-                    del brackets[i]
-                else:
-                    brackets[i] = cut
-    return [settled[i] for i in range(len(around))]
-
-
-def _interpolated(
-    values: DataFrame, brackets: Sequence[tuple], bracket_of: Sequence[int], positions: Sequence[float], n: int
-) -> list[float]:
-    """Values at fractional positions, from the counted distinct values inside each bracket."""
-    inside = [
-        F.when((F.col("x") >= low) & (F.col("x") <= high), F.lit(b)) for b, (low, high, _) in enumerate(brackets)
-    ]
-    rows = values.select("x", F.explode(F.array_compact(F.array(*inside))).alias("b"))
-    ladder = rows.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.partitionBy("b").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))
-    wanted = {
-        (b, r): F.min(F.when((F.col("b") == b) & (F.col("upto") > r - brackets[b][2]), F.col("x"))).alias(f"r{b}_{r}")
-        for b, position in zip(bracket_of, positions)
-        for r in _ranks(position, n)
-    }
-    at = ladder.withColumn("upto", upto).agg(*wanted.values()).head()
-    out = []
-    for b, position in zip(bracket_of, positions):
-        low, high = (at[f"r{b}_{r}"] for r in _ranks(position, n))
-        out.append(low + (position - math.floor(position)) * (high - low))
-    return out
+    ranks = [(math.floor((n - 1) * p), min(math.floor((n - 1) * p) + 1, n - 1), (n - 1) * p) for p in probabilities]
+    wanted = sorted({r for low, high, _ in ranks for r in (low, high)})
+    upto = W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = ladder.groupBy("_range").agg(F.sum("n").alias("held"))
+    before = sums.select("_range", "held", (F.sum("held").over(upto) - F.col("held")).alias("before"))
+    inside = F.exists(F.array(*[F.lit(r).cast("long") for r in wanted]), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held")))
+    reached = F.sum("n").over(W.partitionBy("_range").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))
+    steps = ladder.join(before.where(inside), "_range").withColumn("upto", F.col("before") + reached)
+    at = steps.agg(*[F.min(F.when((F.col("upto") > r) & (F.col("before") <= r), F.col("x"))).alias(f"r{r}") for r in wanted]).head()
+    return [at[f"r{low}"] + (place - low) * (at[f"r{high}"] - at[f"r{low}"]) for low, high, place in ranks]
 
 
 def approx_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int = ACCURACY) -> list:

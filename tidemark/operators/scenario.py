@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import exact_sum
 from tidemark.operators.ranking import exact_quantiles
+from tidemark.plans.staging import staged
 
 # Fixed assumptions and note.
 UPLIFTS = {"low": 0.02, "base": 0.05, "high": 0.08}
@@ -17,7 +18,11 @@ NOTE = "Directional scenario only; not forecast revenue or causal impact."
 
 
 def audience_totals(audience: DataFrame) -> DataFrame:
-    """Size, expected repeat users and median positive volume of an audience, as one row."""
+    """Size, expected repeat users and median positive volume of an audience, as one row.
+
+    Runs jobs at once: the two columns needed are written and read for the median and for the sums.
+    """
+    audience = staged(audience.select("total_volume_90d", "repeat_probability"), "audience")
     median = exact_quantiles(audience.where("total_volume_90d > 0"), "total_volume_90d", [0.5])[0]
     return audience.agg(
         F.count(F.lit(1)).alias("audience_users"),

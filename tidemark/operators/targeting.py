@@ -11,6 +11,7 @@ from tidemark.functions.labels import bin_left, bin_right, first_match, map_with
 from tidemark.functions.numeric import exact_avg, exact_sum, round_half_up
 from tidemark.operators.joins import checked_join
 from tidemark.operators.ranking import exact_quantiles
+from tidemark.plans.staging import staged
 
 FEE_RATE = 0.00025
 
@@ -177,13 +178,16 @@ def targeting(
 
     ``scores``: user_id, observation_date, target_repeat_30d, repeat_probability, predicted_repeat_30d.
     Every rule is an SQL condition, so all labels are CASE expressions in the same stage as the joins.
-    Without ``threshold`` the high-value cut is computed from the scored rows.
+    Without ``threshold`` the high-value cut is computed from the scored rows.  Rules A keep only scores that have a
+    snapshot with the same user, date and target; rules B keep all.  The joined rows are written once, as both the
+    cut and the result read them; this runs jobs at once.
     """
-    base = _with_context(scores, snapshots, context)
+    if rules == "A":
+        keys = ["user_id", "observation_date", "target_repeat_30d"]
+        scores = scores.join(snapshots.select(*keys), keys, "left_semi")
+    base = staged(_with_context(scores, snapshots, context), "targeting")
     if threshold is None:
-        period = scores.select("user_id", "observation_date")
-        volumes = snapshots.join(period, ["user_id", "observation_date"], "left_semi")
-        threshold = high_value_threshold(volumes, positive_only=rules == "A")
+        threshold = high_value_threshold(base, positive_only=rules == "A")
     base = base.withColumn("value_segment", value_segment(threshold, rules))
     if rules == "A":
         segment = bin_right("repeat_probability", PROBABILITY_EDGES_A, PROBABILITY_LABELS)

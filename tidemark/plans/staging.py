@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import defaultdict
 
@@ -13,18 +12,16 @@ _written: dict[str, list[str]] = defaultdict(list)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder for intermediate data that all executors reach.
 
-    Only a local session, as in tests, may go without it and get a temporary folder.
+    It is what the cluster names in ``spark.checkpoint.dir``.  Where that is unset it is a folder of the session's
+    warehouse, which is shared as well, and is set for the session.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+        spark.conf.set(CHECKPOINT_CONF, named)
+    return named.rstrip("/")
 
 
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

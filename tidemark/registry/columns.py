@@ -126,7 +126,7 @@ def p12(t):
     """SELECT user_id, CAST(observation_date AS VARCHAR) AS observation_date, recency_days FROM newest""",
 )
 def p14(t):
-    return latest(t.snapshots).select("user_id", "observation_date", "recency_days")
+    return latest(t.snapshot_table).select("user_id", "observation_date", "recency_days")
 
 
 @query("p15_tagged_columns", "SELECT user_id, 'observed' AS data_source, acquisition_channel FROM app_users")
@@ -183,14 +183,14 @@ def f2(t):
 @query(
     "f3_conditional_functions",
     """SELECT transaction_id, COALESCE(failure_reason, 'none') AS reason, NULLIF(transaction_amount_krw, 0) AS amount,
-              CAST(transaction_amount_krw AS BIGINT) IS NOT NULL AS has_amount FROM app_tx""",
+              CAST(trunc(transaction_amount_krw) AS BIGINT) AS whole_amount FROM app_tx""",
 )
 def f3(t):
     return t.tx.select(
         "transaction_id",
         F.coalesce("failure_reason", F.lit("none")).alias("reason"),
         F.nullif(F.col("transaction_amount_krw"), F.lit(0.0)).alias("amount"),
-        F.col("transaction_amount_krw").cast("long").isNotNull().alias("has_amount"),
+        F.col("transaction_amount_krw").cast("long").alias("whole_amount"),
     )
 
 
@@ -412,22 +412,36 @@ def j13(t):
     return pair.select("acquisition_channel", "user_id_by_count", "user_id_by_volume")
 
 
+def _numbered(ordered):
+    """A few sorted rows with their place: one partition keeps the order they come in."""
+    return ordered.coalesce(1).select("*", F.monotonically_increasing_id().alias("position"))
+
+
 @query(
     "o1_multi_key_sort",
-    """SELECT acquisition_channel, onboarding_valid_flag, COUNT(*) AS users FROM mart GROUP BY ALL""",
+    """SELECT acquisition_channel, onboarding_valid_flag, COUNT(*) AS users,
+              row_number() OVER (ORDER BY COUNT(*) DESC, acquisition_channel, onboarding_valid_flag) - 1 AS position
+       FROM mart GROUP BY 1, 2""",
 )
 def o1(t):
+    """The sorted rows with their place in the output, so that the order itself is compared."""
     counts = t.mart.groupBy("acquisition_channel", "onboarding_valid_flag").agg(F.count(F.lit(1)).alias("users"))
-    return counts.orderBy(F.desc("users"), F.asc("acquisition_channel"))
+    return _numbered(counts.orderBy(F.desc("users"), F.asc("acquisition_channel"), F.asc("onboarding_valid_flag")))
+
+
+_regime_rank = (
+    "CASE market_regime " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(regimes.REGIME_ORDER)) + " ELSE 99 END, market_regime"
+)
 
 
 @query(
     "o2_sort_by_rank",
-    "SELECT market_regime, COUNT(*) AS hours FROM app_rates GROUP BY 1",
+    f"""SELECT *, row_number() OVER (ORDER BY {_regime_rank}) - 1 AS position
+        FROM (SELECT market_regime, COUNT(*) AS hours FROM app_rates GROUP BY 1)""",
 )
 def o2(t):
     counts = t.rates.groupBy("market_regime").agg(F.count(F.lit(1)).alias("hours"))
-    return regimes.sort_by_rank(counts, "market_regime", regimes.REGIME_ORDER)
+    return _numbered(regimes.sort_by_rank(counts, "market_regime", regimes.REGIME_ORDER))
 
 
 @query(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import round_half_up
-from tidemark.operators import experiment, ranking, scenario, targeting
+from tidemark.operators import experiment, quality, ranking, scenario, targeting
 from tidemark.registry.base import money, query, rnd, signed_rnd
+from tidemark.sources.stand_in import PAIRS
 
 _T_COLUMNS = ", ".join(
     f"CAST({c} AS VARCHAR) AS {c}" if c == "observation_date" else c for c in targeting.TARGETING_COLUMNS
@@ -53,7 +54,7 @@ def t4(t):
 def t5(t):
     from tidemark.operators.snapshots import latest
 
-    newest = latest(t.snapshots)
+    newest = latest(t.snapshot_table)
     cut = targeting.high_value_threshold(newest)
     return newest.select("user_id", "total_volume_90d", targeting.value_segment(cut).alias("value_segment"))
 
@@ -101,19 +102,18 @@ def t6b(t):
 
 @query(
     "j11_grid",
-    """SELECT channel, u.k AS uplift_scenario, f.k AS fee_proxy_scenario, n AS audience_users
-       FROM (SELECT acquisition_channel AS channel, COUNT(*) AS n FROM app_users GROUP BY 1),
-            (VALUES ('low'), ('base'), ('high')) u(k), (VALUES ('low'), ('base'), ('high')) f(k)""",
+    """SELECT n AS audience_users, u.k AS uplift_scenario, f.k AS fee_proxy_scenario,
+              CAST(n AS DOUBLE) * u.v AS incremental_repeat_users
+       FROM (SELECT COUNT(*) AS n FROM app_users GROUP BY acquisition_channel),
+            (VALUES ('low', 0.02::DOUBLE), ('base', 0.05::DOUBLE), ('high', 0.08::DOUBLE)) u(k, v),
+            (VALUES ('low'), ('base'), ('high')) f(k)""",
 )
 def j11(t):
-    totals = t.users.groupBy(F.col("acquisition_channel").alias("channel")).agg(F.count(F.lit(1)).alias("audience_users"))
-    empty = {"baseline_expected_repeat_users": F.lit(0.0), "median_recent_volume_proxy_krw": F.lit(0.0)}
-    cells = [
-        F.struct(F.lit(u).alias("uplift_scenario"), F.lit(f).alias("fee_proxy_scenario"))
-        for u in scenario.UPLIFTS
-        for f in scenario.FEE_RATES
-    ]
-    return totals.withColumns(empty).select("channel", F.inline(F.array(*cells)), "audience_users")
+    """The grid of the scenario operator over one totals row for each channel."""
+    totals = t.users.groupBy("acquisition_channel").agg(F.count(F.lit(1)).alias("audience_users"))
+    nothing = {"baseline_expected_repeat_users": F.lit(0.0), "median_recent_volume_proxy_krw": F.lit(0.0)}
+    grid = scenario.scenario_grid(totals.withColumns(nothing))
+    return grid.select("audience_users", "uplift_scenario", "fee_proxy_scenario", "incremental_repeat_users")
 
 
 @query(
@@ -225,7 +225,10 @@ def t12(t):
 
 @query(
     "t13_latest_signal",
-    """SELECT pair, CAST("date" AS VARCHAR) AS "date", close FROM app_fx WHERE pair = 'N' ORDER BY "date" DESC LIMIT 1""",
+    """SELECT pair, CAST("date" AS VARCHAR) AS "date", close FROM app_fx
+       QUALIFY row_number() OVER (PARTITION BY pair ORDER BY "date" DESC) = 1""",
 )
 def t13(t):
-    return targeting.latest_signal(t.fx_daily.where("pair = 'N'")).select("pair", "date", "close")
+    """The latest signal of every pair."""
+    latest = [targeting.latest_signal(t.fx_daily.where(F.col("pair") == p)).select("pair", "date", "close") for p in PAIRS]
+    return quality.union(latest)

@@ -24,7 +24,7 @@ _DATES = "(SELECT list_sort(list(DISTINCT observation_date)) AS d FROM snaps)"
                      THEN 'validation' ELSE 'test' END AS split FROM snaps) GROUP BY split""",
 )
 def l1(t):
-    labelled = splits.split_labels(t.snapshots)
+    labelled = splits.split_labels(t.snapshot_table)
     return labelled.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("observation_date").alias("first_date"),
@@ -39,7 +39,7 @@ def l1(t):
               THEN 'train' ELSE 'test' END AS side FROM snaps) GROUP BY side""",
 )
 def l1b(t):
-    train, test = splits.split_at(t.snapshots, "observation_date")
+    train, test = splits.split_at(t.snapshot_table, "observation_date")
     sides = [df.select(F.lit(n).alias("side")) for n, df in (("train", train), ("test", test))]
     return quality.union(sides).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -68,7 +68,7 @@ def l2(t):
                COUNT(*) AS rows FROM snaps GROUP BY 1""",
 )
 def l4(t):
-    weighted = estimators.with_weights(t.snapshots, TARGET)
+    weighted = estimators.with_weights(t.snapshot_table, TARGET)
     return weighted.groupBy(TARGET).agg(
         round_half_up(F.max(estimators.WEIGHT), 10).alias("class_weight"), F.count(F.lit(1)).alias("rows")
     )
@@ -80,7 +80,7 @@ def l4(t):
         FROM newest, (SELECT mode(target_repeat_30d) AS m FROM snaps)""",
 )
 def l7(t):
-    guessed = estimators.majority(latest(t.snapshots), t.snapshots, TARGET)
+    guessed = estimators.majority(latest(t.snapshot_table), t.snapshot_table, TARGET)
     hit = F.when(F.col(TARGET) == F.col("prediction"), 1).otherwise(0)
     return guessed.agg(round_half_up(F.avg(hit), 10).alias("accuracy"), F.max("prediction").alias("predicted"))
 
@@ -210,12 +210,16 @@ def l15(t):
 
 @query(
     "u3_q11_leakage",
-    """SELECT 0 AS issue_count, COUNT(*) AS rows FROM snaps""",
+    """SELECT 2 AS issue_count, 0 AS used_features, COUNT(*) AS rows FROM snaps""",
 )
 def u3(t):
-    """Prohibited columns among the model features, beside the rows the features come from."""
-    found = len(quality.overlap(REPEAT_FEATURES, quality.PROHIBITED_FEATURES))
-    return t.snapshots.agg(F.lit(found).alias("issue_count"), F.count(F.lit(1)).alias("rows"))
+    """Prohibited columns in the frame models read (its target and one planted here), and among the features they use."""
+    frame = t.snapshot_table.withColumn("next_transaction_date", F.col("observation_date"))
+    found = quality.leakage(t.spark, frame.columns).withColumnRenamed("issue_count", "found")
+    used = quality.leakage(t.spark, REPEAT_FEATURES).withColumnRenamed("issue_count", "used")
+    return frame.agg(
+        F.lit(found.head()[0]).alias("issue_count"), F.lit(used.head()[0]).alias("used_features"), F.count(F.lit(1)).alias("rows")
+    )
 
 
 # Fitted models: their numbers depend on the learner, so there is no SQL to compare with.  Boosting here takes

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidemark.operators import market, overview, snapshots
+from tidemark.operators import market, overview, quality, snapshots
 from tidemark.operators.repeat import repeat_rate
 from tidemark.plans.catalogue import export_all, prepare
-from tidemark.plans.staging import shared_dir, staged
+from tidemark.plans.staging import build_mart, shared_dir
 from tidemark.registry.base import query
 from tidemark.schemas import declare
 from tidemark.sources.extracts import load_extract
@@ -70,12 +72,22 @@ def s5(t):
 
 @query(
     "s6_normalise_names",
-    """SELECT CAST("date" AS VARCHAR) AS "date", high AS "N_high_price", close AS "N_adj_close"
-       FROM app_fx WHERE pair = 'N'""",
+    " UNION ALL ".join(
+        f"""SELECT '{p}' AS pair, CAST("date" AS VARCHAR) AS "date", high AS high_price, close AS adj_close
+            FROM app_fx WHERE pair = '{p}'"""
+        for p in PAIRS
+    ),
 )
 def s6(t):
-    raw = t.fx_daily.where("pair = 'N'").select("date", F.col("high").alias("High Price"), F.col("close").alias("Adj Close"))
-    return normalise_names(raw, "N")
+    """Each pair's columns get normal names under its prefix; the prefixes come off again to stack the pairs."""
+    parts = []
+    for pair in PAIRS:
+        own = t.fx_daily.where(F.col("pair") == pair)
+        raw = own.select("date", F.col("high").alias("High Price"), F.col("close").alias("Adj Close"))
+        named = normalise_names(raw, pair)
+        prices = [F.col(f"{pair}_{c}").alias(c) for c in ("high_price", "adj_close")]
+        parts.append(named.select(F.lit(pair).alias("pair"), "date", *prices))
+    return quality.union(parts)
 
 
 @query(
@@ -85,7 +97,7 @@ def s6(t):
 )
 def s7(t):
     """Write the catalogue entry as CSV, read it back with its schema (S7, S8, S9)."""
-    folder = f"{shared_dir(t.spark)}/extracts-{t.directory.rsplit('/', 1)[-1]}"
+    folder = f"{shared_dir(t.spark)}/extracts-{uuid.uuid4().hex}"
     inputs = prepare(t.users, t.tx, t.events, t.rates, t.tickets, t.tx)
     only = {"d30_repeat_by_channel": lambda i: repeat_rate(i.mart, i.repeat)}
     export_all(inputs, folder, overwrite=True, exports=only)
@@ -95,7 +107,9 @@ def s7(t):
 
 @query("s10_staged_mart", "SELECT onboarding_valid_flag, COUNT(*) AS users FROM mart GROUP BY ALL")
 def s10(t):
-    return staged(t.mart, "mart").groupBy("onboarding_valid_flag").agg(F.count(F.lit(1)).alias("users"))
+    """The mart as a bucketed table of the session's catalogue, under a name of its own."""
+    table = build_mart(t.mart, f"mart_{uuid.uuid4().hex}", buckets=8)
+    return table.groupBy("onboarding_valid_flag").agg(F.count(F.lit(1)).alias("users"))
 
 
 @query("s12_catalog_info")

@@ -8,6 +8,7 @@ from tidemark.functions.numeric import round_half_up
 from tidemark.functions.temporal import days, elapsed, whole_second
 from tidemark.operators import cleaning, joins, lifecycle, repeat
 from tidemark.registry.base import query, rnd
+from tidemark.sources.stand_in import PAIRS
 
 _KEYS = "user_id, session_id, event_timestamp, event_name"
 
@@ -235,7 +236,7 @@ def j8(t):
 def j9(t):
     keys = ["user_id", "observation_date", "target_repeat_30d"]
     scores = t.scores.select(*keys, "repeat_probability")
-    joined = scores.join(t.snapshots.select(*keys, "transactions_90d"), keys)
+    joined = scores.join(t.snapshot_table.select(*keys, "transactions_90d"), keys)
     return joined.drop("target_repeat_30d")
 
 
@@ -250,11 +251,18 @@ def j10(t):
 
 @query(
     "j12_outer_date_alignment",
-    """SELECT CAST(COALESCE(a."date", r."date") AS VARCHAR) AS "date", a.close AS a_close, r.close AS r_close
-       FROM (SELECT * FROM app_fx WHERE pair = 'A') a
-       FULL JOIN (SELECT * FROM app_fx WHERE pair = 'R') r ON r."date" = a."date" """,
+    " ".join(
+        [
+            'SELECT CAST("date" AS VARCHAR) AS "date"',
+            *[f", max(close) FILTER (WHERE pair = '{p}') AS {p.lower()}_close" for p in PAIRS],
+            'FROM app_fx GROUP BY "date"',
+        ]
+    ),
 )
 def j12(t):
-    a = t.fx_daily.where("pair = 'A'").select("date", F.col("close").alias("a_close"))
-    r = t.fx_daily.where("pair = 'R'").select("date", F.col("close").alias("r_close"))
-    return a.join(r, "date", "full")
+    """Closing prices of all pairs side by side, dates of any pair kept."""
+    sides = [t.fx_daily.where(F.col("pair") == p).select("date", F.col("close").alias(f"{p.lower()}_close")) for p in PAIRS]
+    joined = sides[0]
+    for side in sides[1:]:
+        joined = joined.join(side, "date", "full")
+    return joined
