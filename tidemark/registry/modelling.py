@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import round_half_up
@@ -222,35 +224,48 @@ def u3(t):
     )
 
 
-# Fitted models: their numbers depend on the learner, so there is no SQL to compare with.  Boosting here takes
-# fewer rounds than the operator's default, for every round is several passes one after the other.
+# Fitted models: their numbers depend on the learner, so SQL states which rows are scored and that all numbers are
+# valid; every flag is computed from the model's own output.  Boosting here takes fewer rounds than the operator's
+# default, for every round is several passes one after the other.
 
 ROUNDS = 60
 
+_PART = "d[CAST(floor(len(d) * {}) AS BIGINT) + 1]"
+_VALIDATION = f"""(SELECT snaps.* FROM snaps, {_DATES} WHERE observation_date >= {_PART.format("0.7e0")}
+                   AND observation_date < {_PART.format("0.85e0")})"""
+_SCORED = """SELECT user_id, CAST(observation_date AS VARCHAR) AS observation_date, target_repeat_30d,
+                    TRUE AS probability_valid, TRUE AS prediction_valid FROM """
+_TEST_DATES = f"""SELECT CAST("date" AS VARCHAR) AS "date", TRUE AS probabilities_valid, TRUE AS regime_valid
+                  FROM ({_POSITION}) WHERE i >= floor(n * 0.8e0)"""
+
 
 def _repeat_train(t):
     train, validation, _ = splits.split_by_dates(t.snapshot_table)
     return train, validation
 
 
+def _valid(probability: str, prediction: str):
+    return F.col(probability).between(0, 1).alias("probability_valid"), F.col(prediction).isin(0, 1).alias("prediction_valid")
+
+
 def _scored_sample(t, pipeline):
     train, validation = _repeat_train(t)
     model = estimators.fit(pipeline, train, REPEAT_FEATURES, TARGET)
     scored = estimators.score(model, validation, REPEAT_FEATURES)
-    return scored.select("user_id", "observation_date", TARGET, "probability_1", "prediction")
+    return scored.select("user_id", "observation_date", TARGET, *_valid("probability_1", "prediction"))
 
 
-@query("l3_logistic")
+@query("l3_logistic", _SCORED + _VALIDATION)
 def l3(t):
     return _scored_sample(t, estimators.logistic(REPEAT_FEATURES, TARGET))
 
 
-@query("l5_forest")
+@query("l5_forest", _SCORED + _VALIDATION)
 def l5(t):
     return _scored_sample(t, estimators.forest(REPEAT_FEATURES, TARGET))
 
 
-@query("l6_boosted")
+@query("l6_boosted", _SCORED + _VALIDATION)
 def l6(t):
     return _scored_sample(t, estimators.boosted(REPEAT_FEATURES, TARGET, rounds=ROUNDS))
 
@@ -263,52 +278,119 @@ def l8(t):
     return named.groupBy("actual_regime").agg(F.count(F.lit(1)).alias("dates"))
 
 
-@query("l16_importance")
+@query(
+    "l16_importance",
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, TRUE AS valid, 'absolute standardized coefficient' AS method FROM region WHERE r_regionkey = 0"
+        for f in REPEAT_FEATURES
+    ),
+)
 def l16(t):
     train, _ = _repeat_train(t)
     model = estimators.fit(estimators.logistic(REPEAT_FEATURES, TARGET), train, REPEAT_FEATURES, TARGET)
-    return estimators.importance(t.spark, model, REPEAT_FEATURES)
+    found = estimators.importance(t.spark, model, REPEAT_FEATURES)
+    return found.select("feature", (F.col("importance") >= 0).alias("valid"), "method")
 
 
-@query("l17_repeat_champion")
-def l17(t):
+def _repeat_champion(t):
     boosted = {"Gradient Boosted Trees": lambda: estimators.boosted(REPEAT_FEATURES, TARGET, rounds=ROUNDS)}
-    return repeat.train_candidates(t.snapshot_table, {**repeat.CANDIDATES, **boosted})[0]
+    candidates = {**repeat.CANDIDATES, **boosted}
+    return candidates, *repeat.train_candidates(t.snapshot_table, candidates)
+
+
+@query(
+    "l17_repeat_champion",
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS model, TRUE AS metrics_valid, 1 AS champions, TRUE AS champion_leads" for m in repeat.CANDIDATES
+    ),
+)
+def l17(t):
+    """Each candidate's metrics, all between 0 and 1; one champion, and none has a better validation AUC."""
+    metrics_of = _repeat_champion(t)[1]
+    best = metrics_of.agg(
+        F.sum("selected_model_flag").alias("champions"),
+        (F.max("validation_roc_auc") == F.max(F.expr("CASE WHEN selected_model_flag = 1 THEN validation_roc_auc END"))).alias("leads"),
+    ).head()
+    ranges = [F.col(c).between(0, 1) for c in ("validation_roc_auc", "roc_auc", "pr_auc", "accuracy", "f1")]
+    valid = ranges[0] & ranges[1] & ranges[2] & ranges[3] & ranges[4]
+    return metrics_of.select(
+        "model", valid.alias("metrics_valid"), F.lit(best["champions"]).alias("champions"), F.lit(best["leads"]).alias("champion_leads")
+    )
 
 
 def _fx_names(t):
     return [c for c in market.columns_matching(t.fx_table) if c != market.TARGET]
 
 
-@query("l18_regime_comparison")
+_DEFINITIONS = (volatility.QUANTILE_DEFINITION, volatility.KMEANS_DEFINITION)
+
+
+@query(
+    "l18_regime_comparison",
+    " UNION ALL ".join(
+        f"SELECT '{d}' AS regime_definition, '{m}' AS model, TRUE AS metrics_valid" for d in _DEFINITIONS for m in volatility.candidates([])
+    ),
+)
 def l18(t):
-    return volatility.compare_regimes(t.fx_table, _fx_names(t))[0]
+    compared = volatility.compare_regimes(t.fx_table, _fx_names(t))[0]
+    valid = F.col("accuracy").between(0, 1) & F.col("f1_macro").between(0, 1) & F.col("balanced_accuracy").between(0, 1)
+    return compared.select("regime_definition", "model", valid.alias("metrics_valid"))
 
 
-@query("l19_best_per_definition")
+@query(
+    "l19_best_per_definition",
+    " UNION ALL ".join(f"SELECT '{d}' AS regime_definition, TRUE AS leaders_known, TRUE AS ordered" for d in _DEFINITIONS),
+)
 def l19(t):
-    """Both leaders of each definition, over logistic models."""
-    names = _fx_names(t)
-    quick = {"Logistic Regression": lambda: estimators.logistic(names, volatility.LABEL, max_iter=200)}
-    compared, _ = volatility.compare_regimes(t.fx_table, names, models=quick)
-    return volatility.definition_comparison(compared)
+    """Both leaders of each definition, over all candidates."""
+    compared, _ = volatility.compare_regimes(t.fx_table, _fx_names(t))
+    both = volatility.definition_comparison(compared)
+    models = list(volatility.candidates([]))
+    return both.select(
+        "regime_definition",
+        (F.col("best_model_by_f1").isin(models) & F.col("best_model_by_balanced_accuracy").isin(models)).alias("leaders_known"),
+        (
+            (F.col("best_f1_macro") >= F.col("f1_macro_for_best_balanced_accuracy_model"))
+            & (F.col("best_balanced_accuracy") >= F.col("balanced_accuracy_for_best_f1_model"))
+        ).alias("ordered"),
+    )
 
 
-@query("l21_score_latest")
+@query("l21_score_latest", _SCORED + "newest")
 def l21(t):
-    """Refit on train and validation (L20), then score the newest snapshot."""
+    """The champion, refitted on train and validation (L20), scores the newest snapshot with its validation threshold."""
+    candidates, metrics_of, fitted = _repeat_champion(t)
+    name = repeat.champion(metrics_of)
+    model = repeat.refit(candidates[name], t.snapshot_table)
+    scored = repeat.score_latest(model, t.snapshot_table, fitted[name].threshold)
+    return scored.select("user_id", "observation_date", TARGET, *_valid("repeat_probability", "predicted_repeat_30d"))
+
+
+@query("l20_refit", _SCORED + "newest")
+def l20(t):
+    """A model refitted on train and validation together scores the newest snapshot."""
     model = repeat.refit(repeat.CANDIDATES["Logistic Regression"], t.snapshot_table)
-    return repeat.score_latest(model, t.snapshot_table, 0.5)
+    scored = repeat.score_latest(model, t.snapshot_table, 0.5)
+    return scored.select("user_id", "observation_date", TARGET, *_valid("repeat_probability", "predicted_repeat_30d"))
+
+
+def _valid_predictions(shown):
+    shares = [F.col(f"prob_{c}") for c in volatility.CLASSES]
+    total = F.abs(shares[0] + shares[1] + shares[2] - 1) < 1e-9
+    inside = shares[0].between(0, 1) & shares[1].between(0, 1) & shares[2].between(0, 1)
+    return shown.select(
+        "date", (total & inside).alias("probabilities_valid"), F.col("predicted_regime").isin(*volatility.CLASSES).alias("regime_valid")
+    )
 
 
-@query("l22_regime_predictions")
+@query("l22_regime_predictions", _TEST_DATES)
 def l22(t):
+    """The champion of all candidates and definitions predicts the held-out dates."""
     names = _fx_names(t)
-    train, test = splits.split_by_position(t.fx_table)
-    regimes = volatility.quantile_regimes(train)
-    pipeline = estimators.logistic(names, volatility.LABEL, max_iter=200)
-    model = estimators.fit(pipeline, volatility.with_regime(train, regimes), names, volatility.LABEL)
-    return volatility.predictions(model, volatility.with_regime(test, regimes), names)
+    compared, fitted = volatility.compare_regimes(t.fx_table, names)
+    first = compared.where("selected_model_flag = 1").head()
+    _, model, held = fitted[first["regime_definition"], first["model"]]
+    return _valid_predictions(volatility.predictions(model, held, names))
 
 
 @query("l23_regime_metadata")
@@ -318,25 +400,26 @@ def l23(t):
     return volatility.regime_metadata(train, test, fitted, "lineitem")
 
 
-@query("l24_mlp")
+@query("l24_mlp", _TEST_DATES)
 def l24(t):
     names = _fx_names(t)
     train, test = splits.split_by_position(t.fx_table)
     regimes = volatility.quantile_regimes(train)
     model = estimators.fit(estimators.mlp(names, volatility.LABEL), volatility.with_regime(train, regimes), names, volatility.LABEL)
-    return volatility.predictions(model, volatility.with_regime(test, regimes), names)
+    return _valid_predictions(volatility.predictions(model, volatility.with_regime(test, regimes), names))
 
 
-@query("s11_model_bundle")
+@query("s11_model_bundle", f"SELECT COUNT(*) AS rows, 0 AS mismatches FROM {_VALIDATION}")
 def s11(t):
-    """Save a fitted pipeline with its description, load it, score with it."""
+    """Save a fitted pipeline with its description, load it, and score with both."""
     from tidemark.plans.staging import shared_dir
 
     train, validation = _repeat_train(t)
     model = estimators.fit(estimators.logistic(REPEAT_FEATURES, TARGET), train, REPEAT_FEATURES, TARGET)
-    path = f"{shared_dir(t.spark)}/repeat-model-{t.directory.rsplit('/', 1)[-1]}"
+    path = f"{shared_dir(t.spark)}/repeat-model-{uuid.uuid4().hex}"
     meta = {"features": REPEAT_FEATURES, "threshold": 0.5, "observation_window_days": 90, "prediction_window_days": 30}
     estimators.save_model(model, path, meta)
     loaded, described = estimators.load_model(path)
-    scored = estimators.score(loaded, validation, described["features"])
-    return scored.groupBy((F.col("probability_1") >= described["threshold"]).alias("predicted")).count()
+    kept = estimators.score(model, validation, REPEAT_FEATURES).withColumnRenamed("probability_1", "kept").drop("prediction")
+    both = estimators.score(loaded, kept, described["features"])
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kept") != F.col("probability_1")).alias("mismatches"))

@@ -13,7 +13,7 @@ from tidemark.plans.staging import build_mart, shared_dir
 from tidemark.registry.base import query
 from tidemark.schemas import declare
 from tidemark.sources.extracts import load_extract
-from tidemark.sources.fx import normalise_names, source_profile, to_long
+from tidemark.sources.fx import normalise_names, read_fx_daily, source_profile, wide_schema
 from tidemark.sources.stand_in import MAIN_PAIR, PAIRS
 from tidemark.sources.tables import catalog_info, read_table, run_sql
 
@@ -44,9 +44,12 @@ def s2(t):
 
 @query("s3_fx_long", 'SELECT pair, CAST("date" AS VARCHAR) AS "date", open, high, low, close FROM app_fx')
 def s3(t):
-    """Wide daily prices turned back into the long form every operator reads."""
+    """Daily prices written as the wide CSV file they come in, and read back into the long form every operator reads."""
     wide = t.fx_daily.groupBy("date").pivot("pair", list(PAIRS)).agg(*[F.first(f).alias(f) for f in market.FIELDS])
-    return to_long(wide, PAIRS)
+    names = [f.name for f in wide_schema(PAIRS, market.FIELDS)]
+    path = f"{shared_dir(t.spark)}/fx-{uuid.uuid4().hex}"
+    wide.select(*names).write.csv(path, header=True)
+    return read_fx_daily(t.spark, path, PAIRS, market.FIELDS)
 
 
 def _wide_sql(where: str) -> str:
@@ -112,10 +115,23 @@ def s10(t):
     return table.groupBy("onboarding_valid_flag").agg(F.count(F.lit(1)).alias("users"))
 
 
-@query("s12_catalog_info")
+_CATALOGUED = ("customer", "orders", "lineitem", "events", "conversations")
+
+
+@query(
+    "s12_catalog_info",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS "table", CAST(row_number() OVER () - 1 AS INT) AS position, column_name AS "column",
+                   (SELECT COUNT(*) FROM {n}) AS rows FROM (DESCRIBE SELECT * FROM {n})"""
+        for n in _CATALOGUED
+    ),
+)
 def s12(t):
-    """Tables, columns and types (metadata only, so it is not compared with SQL)."""
-    return catalog_info(t.spark, {n: t.raw(n) for n in ("customer", "orders", "lineitem", "events", "conversations")})
+    """Tables and columns as the files themselves have them, with each table's rows; types differ by engine."""
+    files = {n: t.spark.read.parquet(f"{t.directory}/{n}.parquet") for n in _CATALOGUED}
+    info = catalog_info(t.spark, files).drop("type")
+    sizes = quality.union([df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in files.items()])
+    return info.join(sizes, "table")
 
 
 COUNTED = ("users", "events", "transactions", "support_tickets", "marketing_spend", "fx_rates_hourly")
