@@ -9,10 +9,14 @@ from tidemark.plans.staging import staged
 
 SHARDS = 24
 SEED = 7
-#: Rows that one task orders.  The number of ranges follows the number of rows.
+#: Rows that one task orders.  The number of ranges follows the number of rows, and is no less than that of shuffle parts.
 RANGE_ROWS = 1 << 17
 
 
+def _ranges(rows: DataFrame, range_rows: int) -> int:
+    return max(-(-rows.count() // range_rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _unit(h: Column) -> Column:
     """A hash as a number from 0 up to, not including, 1."""
     return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
@@ -25,7 +29,7 @@ def fractional_ranks(rows: DataFrame, by: str, order: list[str], seed: int = SEE
     one row spread over the whole as well.  A stratum is cut by the leading bits of the shuffling hash, so one with a
     third of all rows is ordered by many tasks; counts of the cuts give each its first rank.
     """
-    ranges = -(-rows.count() // range_rows) or 1
+    ranges = _ranges(rows, range_rows)
     hashed = rows.select(
         F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
         F.coalesce(F.col(f"`{by}`").cast("string"), F.lit("")).alias("stratum"),
@@ -66,8 +70,7 @@ def interleaved(
     """
     order = order or [c for c in rows.columns if c != by]
     slotted = staged(fractional_ranks(rows, by, order, seed, range_rows), "interleave-ranks")
-    total = slotted.count()
-    ranges = -(-total // range_rows) or 1
+    total, ranges = slotted.count(), _ranges(slotted, range_rows)
     slotted = slotted.withColumn("cut", F.least(F.floor(F.col("fraction") * ranges), F.lit(ranges - 1)))
     # One row for each range: a few thousand at most where a range holds RANGE_ROWS rows of a large corpus.
     counts = slotted.groupBy("cut").agg(F.count(F.lit(1)).alias("n"))
