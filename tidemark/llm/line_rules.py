@@ -18,6 +18,9 @@ BOILERPLATE = (
     r"all rights reserved|terms of (use|service)|privacy policy|use of cookies|cookie policy|enable javascript|"
     r"javascript is (disabled|required)|lorem ipsum|subscribe to our newsletter|click here"
 )
+#: The end of a finished line, and two signs that part the items of a menu.
+CLOSED = r"""[.!?:;,…。！？"'”’»)\]]\x20*\z"""
+CRUMBS = r"[|»›>·][^|»›>·]+[|»›>·]"
 SHORT_LINE = 5
 #: A repeated run of so many words counts against a text.
 RUN = 3
@@ -30,11 +33,10 @@ def _without(text: Column, chars: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line breaks a rule: no closing punctuation on a short line, navigation, boilerplate, or symbols."""
-    trimmed = F.rtrim(line)
     words = F.size(F.split(F.trim(line), SPACE))
-    unfinished = (words < SHORT_LINE) & ~trimmed.rlike(r"""[.!?:;,…。！？"'”’»)\]]$""")
+    unfinished = (words < SHORT_LINE) & ~line.rlike(CLOSED)
     lower = F.lower(line)
-    navigation = (words < 2 * SHORT_LINE) & (lower.rlike(NAVIGATION) | line.rlike(r"(\||»|›|>|·)[^|»›>·]+(\||»|›|>|·)"))
+    navigation = (words < 2 * SHORT_LINE) & (lower.rlike(NAVIGATION) | line.rlike(CRUMBS))
     boilerplate = lower.rlike(BOILERPLATE)
     symbols = F.char_length(line) - F.char_length(_without(line, SYMBOLS))
     return unfinished | navigation | boilerplate | (symbols > SYMBOL_SHARE * F.char_length(line))
@@ -99,3 +101,40 @@ def line_first(docs: DataFrame, text_col: str = "text", kept_share: float = KEPT
     rows = rows.withColumn("base_failed", failed)
     rows = rows.withColumn("kept", ~failed & (F.col("kept_chars") >= kept_share * F.col("word_chars")))
     return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in _OUT], *_OUT)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SQL_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+RULES_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), parts AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - {RUN} + 2)) AS i FROM parts WHERE len(w) >= {RUN}
+), runs AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM places
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM runs WHERE n > 1) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, length(translate(t, {_SQL_SPACES}, '')) AS word_chars,
+    length(t) - length(translate(t, {_quoted(SYMBOLS)}, '')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    list_sum(list_transform(list_filter(lines, lambda x: NOT (
+      (len(regexp_split_to_array(trim(x), '{SPACE}')) < {SHORT_LINE} AND NOT regexp_matches(x, {_quoted(CLOSED)}))
+      OR (len(regexp_split_to_array(trim(x), '{SPACE}')) < {2 * SHORT_LINE}
+          AND (regexp_matches(lower(x), {_quoted(NAVIGATION)}) OR regexp_matches(x, {_quoted(CRUMBS)})))
+      OR regexp_matches(lower(x), {_quoted(BOILERPLATE)})
+      OR length(x) - length(translate(x, {_quoted(SYMBOLS)}, '')) > {SYMBOL_SHARE}::DOUBLE * length(x)
+    )), lambda x: length(translate(x, {_SQL_SPACES}, '')))) AS kept_chars
+  FROM parts LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(kept_chars, 0) >= {KEPT_SHARE}::DOUBLE * word_chars AS kept FROM judged
+"""

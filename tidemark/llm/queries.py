@@ -96,7 +96,7 @@ def _op9(spark: SparkSession, directory: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "mix_key")
 
 
-@query("op10_line_rules")
+@query("op10_line_rules", line_rules.RULES_SQL)
 def _op10(spark: SparkSession, directory: str) -> DataFrame:
     found = line_rules.line_first(table(spark, directory, "documents").select("doc_id", "text"))
     return found.select(
