@@ -19,6 +19,7 @@ SEED = 5
 #: Ids are put in order in ranges of about so many rows; texts are grouped in parts of about so many characters.
 RANGE_ROWS = 1 << 17
 PART_CHARS = 8_000_000
+_NO_ID = -(2**63)
 
 
 def _sample(k: int) -> Column:
@@ -86,8 +87,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
     Other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    ids = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n_chars"))
+    # A key that is never null, so that both reads of the dealt texts have one plan and share one shuffle.
+    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"))
+    ids = own.where(F.col("doc_id") != _NO_ID).groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n_chars"))
     after = staged(successors(staged(ids, "gamma-lengths")), "gamma-next")
     chars = after.agg(F.sum("n_chars")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
@@ -121,7 +123,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
         of(2, "raw").alias("n_chars"),
         F.concat(*[F.lpad(F.hex(of(3 + i, "raw")), 16, "0") for i in range(4)]).alias("edited_sha256"),
     )
-    signed = staged(gathered.drop("row"), "gamma-signed")
+    signed = staged(gathered.drop("row").withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NO_ID))), "gamma-signed")
     nexts = after.select("doc_id", "next_id").join(
         signed.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint")), "next_id"
     )
