@@ -262,5 +262,6 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, bl
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.where("length > 0").select("path", "length", starts.alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, F.col("length")))
-    dealt = ranges.repartition(F.xxhash64("path", "start"))
+    # Ranges are few and short rows, which adaptive execution would put into one task; here each gets its own.
+    dealt = ranges.repartition(max(1, ranges.count()))
     return dealt.mapInArrow(partial(_read, blocks=blocks), _READ_SCHEMA)
