@@ -32,17 +32,20 @@ CAPACITY = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _BATCH_CHARS = 1 << 20
 _GAP = re.compile(r"\s\s")
+_PART = re.compile(r" [^ \n]*|[^ \n]+|\n")
+_SIGNS = frozenset(".,;:!?")
 
 
 class WordTokenizer:
     """Ids of texts, as little-endian bytes, by way of a memory of words.
 
-    Byte-level BPE here never joins across a space that follows and precedes other characters than white space, so the
-    text is taken apart there and each different part is tokenised once.  Where two white-space characters meet,
-    parts around them stay together.
+    Byte-level BPE here never joins across a space between other characters than white space, nor across a line end
+    between such, nor from a letter or digit to one of a few signs.  The text is taken apart there, and each different
+    part is tokenised once.  In a text where white-space characters meet, only the first rule is used, and
+    parts around such places stay together.
     """
 
     def __init__(self, path: str):
@@ -51,18 +54,30 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        (self.line_end,) = self._encoded(["\n"])[0]
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _stands_alone(p: str) -> bool:
+        """Whether a part keeps its ids between line ends: it has none, and no other white space at its ends than one space."""
+        return not p[-1].isspace() and "\n" not in p and (not p[0].isspace() or p[0] == " " and not p[1].isspace())
 
     @staticmethod
     def parts(text: str) -> list[str]:
+        out: list[str] = []
+        if not _GAP.search(text):
+            for p in _PART.findall(text):
+                if p[-1] in _SIGNS and len(p) > 1 and p[-2].isalnum():
+                    out += (p[:-1], p[-1])
+                else:
+                    out.append(p)
+            return out
         words = text.split(" ")
         first, rest = words[0], [" " + w for w in words[1:]]
-        parts = [first, *rest] if first else rest
-        if not _GAP.search(text):
-            return parts
-        out: list[str] = []
-        for p in parts:
-            open_end = bool(out) and (out[-1][-1].isspace() or len(p) == 1 or p[1].isspace())
-            if open_end:
+        for p in [first, *rest] if first else rest:
+            if out and (out[-1][-1].isspace() or len(p) == 1 or p[1].isspace()):
                 out[-1] += p
             else:
                 out.append(p)
@@ -74,10 +89,17 @@ class WordTokenizer:
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = list({p for parts in taken for p in parts})
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = array("I", e.ids).tobytes()
+        lined = [p for p in new if self._stands_alone(p)]
+        for at in range(0, len(lined), 2048):
+            some = lined[at : at + 2048]
+            ids = np.array(self._encoded(["\n".join(some)])[0], dtype="<u4")
+            cuts = np.flatnonzero(ids == self.line_end)
+            for p, a, b in zip(some, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), strict=True):
+                self.known[p] = ids[a:b].tobytes()
+        others = [p for p in new if p not in self.known]
+        for at in range(0, len(others), 2048):
+            some = others[at : at + 2048]
+            self.known |= {p: array("I", e).tobytes() for p, e in zip(some, self._encoded(some), strict=True)}
         return [b"".join(map(self.known.__getitem__, parts)) for parts in taken]
 
 
