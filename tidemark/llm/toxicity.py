@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from tidemark.llm.labelled import held_out, training_rows
 
 #: Labelled documents from which training learns, at most, by class; none is longer than LONGEST characters.
-TRAIN_ROWS = {1: 1500, 0: 3000}
-LONGEST = 8_000
+TRAIN_ROWS = {1: 1200, 0: 2400}
+LONGEST = 6_000
 BUCKET_BITS = 18
 DIM = 8
 #: Half a run: runs are this many words and the as many that follow, at every such step.
@@ -40,10 +40,10 @@ BLOCK_CHARS = 1 << 17
 
 @dataclass(frozen=True)
 class Bags:
-    """N-grams of a block of texts in half runs: bucket and half run of each n-gram, text of each half run."""
+    """N-grams of a block of texts by half run: half run i has ``buckets[cuts[i]:cuts[i + 1]]`` and is of ``text_of[i]``."""
 
     buckets: np.ndarray
-    half_of: np.ndarray
+    cuts: np.ndarray
     text_of: np.ndarray
 
 
@@ -85,7 +85,7 @@ def bags(numbers: list[int], parts: list[str]) -> Bags:
     halves = np.flatnonzero((np.arange(len(words)) - first[np.minimum(part_of, len(first) - 1)]) % STEP_WORDS == 0)
     text_of = np.array(numbers, dtype=np.int64)[part_of[halves]]
     if not len(halves):
-        return Bags(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), text_of)
+        return Bags(np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64), text_of)
     half_at = np.zeros(len(points), dtype=np.int32)
     half_at[words[halves]] = 1
     half_at = np.cumsum(half_at) - 1
@@ -101,11 +101,12 @@ def bags(numbers: list[int], parts: list[str]) -> Bags:
             at = np.flatnonzero(able)
             h = rolling[at] + np.uint32(k)
             h = (h ^ (h >> np.uint32(16))) * np.uint32(2146121005)
-            found.append((h >> np.uint32(32 - BUCKET_BITS)).astype(np.int64))
+            found.append((h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32))
             owner.append(half_at[at])
     buckets, half_of = np.concatenate(found), np.concatenate(owner)
-    keep = half_of >= 0
-    return Bags(buckets[keep], half_of[keep], text_of)
+    order = np.argsort(half_of, kind="stable")
+    cuts = np.searchsorted(half_of, np.arange(len(halves) + 1), sorter=order)
+    return Bags(buckets[order], cuts, text_of)
 
 
 @dataclass(frozen=True)
@@ -118,8 +119,8 @@ class Model:
     def runs(self, b: Bags) -> np.ndarray:
         """Log-odds of the run that begins with each half run."""
         n = len(b.text_of)
-        total = np.bincount(b.half_of, self.gain[b.buckets], minlength=n)
-        count = np.bincount(b.half_of, minlength=n).astype(float)
+        sums = np.concatenate(([0], np.cumsum(self.gain[b.buckets])))[b.cuts]
+        total, count = np.diff(sums), np.diff(b.cuts).astype(float)
         goes_on = np.append(b.text_of[1:] == b.text_of[:-1], False) if n else np.empty(0, dtype=bool)
         total = total + np.where(goes_on, np.append(total[1:], 0), 0)
         count = count + np.where(goes_on, np.append(count[1:], 0), 0)
@@ -146,10 +147,6 @@ def train(texts: list[str], labels: list[int]) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros(size), -20.0 if not y.any() else 20.0)
     blocks = [bags(numbers, parts) for numbers, parts in _blocks(texts)]
-    sorted_blocks = []
-    for b in blocks:
-        order = np.argsort(b.half_of, kind="stable")
-        sorted_blocks.append((b, b.buckets[order], np.searchsorted(b.half_of[order], np.arange(len(b.text_of) + 1))))
 
     def model():
         return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
@@ -158,9 +155,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
     warm = round(WARM * more)
     for epoch in range(warm + round(EPOCHS * more)):
         now = model()
-        for i in draw.permutation(len(sorted_blocks)):
-            b, buckets, cuts = sorted_blocks[i]
-            n = len(b.text_of)
+        for i in draw.permutation(len(blocks)):
+            b = blocks[i]
+            n, buckets, cuts = len(b.text_of), b.buckets, b.cuts
             if not n:
                 continue
             if epoch < warm:
