@@ -226,3 +226,14 @@ def test_regime_comparison(spark):
     train, test = splits.split_by_position(wide)
     meta = volatility.regime_metadata(train, test, [regimes], "files").head()
     assert meta["train_end"] < meta["test_start"]
+
+
+def test_fitted_forest_does_not_depend_on_the_partitions(spark, snaps):
+    """The same rows in one file part or in seven, in any order, give the same model."""
+    probabilities = []
+    for parts in (1, 7):
+        make = estimators.forest(snapshots.REPEAT_FEATURES, snapshots.TARGET, trees=5, depth=3, min_leaf=5)
+        model = estimators.fit(make, snaps.repartition(parts), snapshots.REPEAT_FEATURES, snapshots.TARGET)
+        found = estimators.score(model, snaps, snapshots.REPEAT_FEATURES)
+        probabilities.append(rows(found.select("user_id", "observation_date", "probability_1")))
+    assert probabilities[0] == probabilities[1]
