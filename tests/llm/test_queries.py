@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import os
+from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
 import pytest
 from compare import compare, connect
 from llm.conftest import odd_rows
+from llm.test_jaccard_join import brute
+from llm.test_native import base_spans, poisson_count
 
-from tidemark.llm import blob_ledger, queries
+from tidemark.llm import blob_ledger, packing, poisson_mix, queries
 from tidemark.plans.staging import staged
 
 DATA = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
@@ -32,14 +36,46 @@ def test_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+def plain_mix(rows: list) -> Counter:
+    """How often each document is in the mix, from its source's temperature-scaled share of characters."""
+    chars = Counter()
+    for r in rows:
+        chars[r.source] += len(r.text or "")
+    weights = {k: n**poisson_mix.POWER for k, n in chars.items() if n}
+    total = sum(weights.values())
+    out = Counter()
+    for r in rows:
+        if chars[r.source]:
+            rate = weights[r.source] / total * sum(chars.values()) * poisson_mix.EPOCHS / chars[r.source]
+            name = str(r.doc_id) if r.doc_id is not None else hashlib.md5((r.text or "").encode()).hexdigest()
+            out[r.doc_id] += poisson_count(rate, int(hashlib.md5(f"{poisson_mix.SEED}:{name}".encode()).hexdigest()[:13], 16) / 2**52)
+    return +out
+
+
 def test_pipeline_stages(spark, odd):
-    docs, seen = odd, []
+    """Each stage on the result of the one before, against plain Python."""
+    secret = spark.createDataFrame([(800, "a " * 60 + "token: abcdefgh12 end", "en", "s0", 1)], odd.schema)
+    docs, rows, names = odd.union(secret), [], []
     for name, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, DATA), "stage")
-        seen.append((name, docs.count(), docs.columns))
-    assert len(seen) == 5 and all(c == odd.columns for _, _, c in seen[:-1])
-    counts = [n for _, n, _ in seen]
-    assert counts[0] <= len(odd_rows()) and counts[1] < 80 and counts[2] == counts[1]
+        rows.append(docs.collect())
+        names.append(docs.columns)
+    assert len(rows) == 5 and all(c == odd.columns for c in names[:-1])
+    clean, single, masked, mixed, pieces = rows
+    assert Counter(map(tuple, clean)) <= Counter(odd_rows()) + Counter(map(tuple, secret.collect()))
+    kept = {(r[0]) for r in brute([tuple(r) for r in clean]) if r[0] is not None and r[0] == r[2]}
+    assert sorted(r.doc_id for r in single if r.doc_id is not None) == sorted(kept)
+    assert Counter(r.doc_id for r in masked) == Counter(r.doc_id for r in single)
+    assert all(base_spans(r.text) == "" for r in masked if r.doc_id == 800)
+    assert Counter(r.doc_id for r in mixed) == plain_mix(masked)
+    tokenizer = packing._tokenizer(None)
+    want = Counter()
+    for r in mixed:
+        want[r.doc_id] += len(tokenizer._encoded([r.text or ""])[0]) + 1
+    have = Counter()
+    for p in pieces:
+        have[p.doc_id] += p.length
+    assert have == want
 
 
 def test_pipeline_on_nothing(spark, empty):
