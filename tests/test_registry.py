@@ -28,7 +28,16 @@ def duck():
     return connect(DATA)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - LONG))
+FITTED = ["l16_importance", "l20_refit", "l3_logistic", "s11_model_bundle"]
+
+
+@pytest.mark.parametrize("name", FITTED)
+def test_fitted_models_match_sql(spark, name):
+    ok, note = compare(spark, connect(LARGER), LARGER, QUERIES[name], SQL[name])
+    assert ok, note
+
+
+@pytest.mark.parametrize("name", sorted(set(SQL) - LONG - set(FITTED)))
 def test_matches_sql(spark, duck, name):
     ok, note = compare(spark, duck, DATA, QUERIES[name], SQL[name])
     assert ok, note
