@@ -58,6 +58,16 @@ def test_payloads_that_hold_members_don_t_mislead(tmp_path):
         assert found == starts
 
 
+@pytest.mark.parametrize("range_bytes", [1 << 10, 1 << 25])
+def test_long_urls_are_read_back(spark, tmp_path, range_bytes):
+    noise = base64.b64encode(b"".join(hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(4_688))).decode()[:200_000]
+    rows = [(1, "http://a/" + "x" * 200_000, "same"), (2, "http://b/" + noise, "same"), (3, "http://c/", "same"), (4, "http://d/" + noise, "other")]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: r for r in warc.read_warc(spark, str(tmp_path / "w"), range_bytes).collect()}
+    assert {i: r.url for i, r in got.items()} == {i: url for i, url, _ in rows}
+    assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 3, 4)] == [("response", None), ("revisit", 1), ("revisit", 1), ("response", None)]
+
+
 def test_large_records_end_with_an_empty_member():
     big = warc.member(bytes(range(256)) * (1 << 17))
     assert big[-1] == 0 and big.endswith(bytes(8))

@@ -28,7 +28,7 @@ LEAST_REVISIT = 0
 #: Bytes of a file that one task owns.
 RANGE_BYTES = 32 << 20
 _READ = 1 << 20
-_LONGEST_HEADER = 1 << 16
+_LOOK = 1 << 14
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
@@ -142,18 +142,40 @@ def _header(content: bytes) -> dict[str, str] | None:
     return fields | {"": str(end + 4)} if good else None
 
 
-def _inflate(window: _Window, place: int, most: int | None = None) -> tuple[bytes, int] | None:
-    """Content of the member at ``place`` (the beginning only, if ``most`` is given) and where it ends; None if it is none."""
-    unpack, out, size, at = zlib.decompressobj(31), [], 0, place
+def _begins_record(window: _Window, place: int) -> bool:
+    """Whether a member with a whole WARC header begins at ``place``.
+
+    It is inflated as far as the header's end, wherever that is, or the member's, but no further than it looks like WARC.
+    """
+    unpack, head, at = zlib.decompressobj(31), bytearray(), place
+    try:
+        while not unpack.eof:
+            data = window.at(at, _LOOK)
+            if not data:
+                return False
+            at += len(data)
+            while data and not unpack.eof:
+                seen = max(len(head) - 3, 0)
+                head += unpack.decompress(data, _LOOK)
+                data = unpack.unconsumed_tail
+                if not head.startswith(b"WARC/"[: len(head)]):
+                    return False
+                if head.find(b"\r\n\r\n", seen) >= 0:
+                    return _header(bytes(head)) is not None
+    except zlib.error:
+        pass
+    return False
+
+
+def _inflate(window: _Window, place: int) -> tuple[bytes, int] | None:
+    """Content of the member at ``place`` and where it ends; None if it is none."""
+    unpack, out, at = zlib.decompressobj(31), [], place
     try:
         while not unpack.eof:
-            data = window.at(at, _READ if most is None else 1 << 14)
+            data = window.at(at, _READ)
             if not data:
-                return None if most is None else (b"".join(out), at)
-            out.append(unpack.decompress(data, 0 if most is None else most))
-            size += len(out[-1])
-            if most is not None and (size >= most or b"\r\n\r\n" in out[-1]):
-                return b"".join(out), at
+                return None
+            out.append(unpack.decompress(data))
             at += len(data) - len(unpack.unused_data)
     except zlib.error:
         return None
@@ -172,7 +194,7 @@ def records_in(path: str, length: int, start: int, end: int) -> Iterator[tuple[i
     """(place, header, block) of the records that start in the bytes ``start`` to ``end`` (excluded) of one file.
 
     The range is searched for gzip's first bytes.  A place counts as a record's start if what is there inflates to a WARC
-    header; then the whole member is inflated, its check sum included, beyond the range's end if need be, and the search
+    header of any length; then the whole member is inflated, its check sum included, beyond the range's end if need be, and the search
     goes on behind it.  Members without a header, such as empty ones, are passed over; so are broken ones.
     """
     system, name = _filesystem(path)
@@ -193,8 +215,7 @@ def records_in(path: str, length: int, start: int, end: int) -> Iterator[tuple[i
             # The look at the header keeps its bytes in the window: a wrong candidate costs no second read.
             peek = _Window(handle, place, length)
             peek.data = window.at(place, _READ)
-            begun = _inflate(peek, place, _LONGEST_HEADER)
-            if not begun or _header(begun[0]) is None:
+            if not _begins_record(peek, place):
                 place += 1
                 continue
             peek = _Window(handle, place, length)
