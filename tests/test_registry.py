@@ -69,3 +69,17 @@ def test_plans_stay_parallel(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     for below in text.split("Exchange SinglePartition")[1:]:
         assert "HashAggregate" in below.split("\n")[1]
+
+
+def test_boosting_takes_all_rounds(spark, monkeypatch):
+    from tidemark.registry import modelling
+
+    def rounds(pipeline):
+        return pipeline.getStages()[-1].getMaxIter()
+
+    monkeypatch.setattr(modelling, "_scored_sample", lambda t, pipeline: rounds(pipeline))
+    monkeypatch.setattr(modelling.repeat, "train_candidates", lambda snapshots, candidates: (candidates, None))
+    tables = type("Tables", (), {"snapshot_table": None})
+    candidates, measured, _ = modelling._repeat_champion(tables)
+    assert modelling.l6(tables) == 180
+    assert all(rounds(c["Gradient Boosted Trees"]()) == 180 for c in (candidates, measured))

@@ -225,10 +225,7 @@ def u3(t):
 
 
 # Fitted models: their numbers depend on the learner, so SQL states which rows are scored and that all numbers are
-# valid; every flag is computed from the model's own output.  Boosting here takes fewer rounds than the operator's
-# default, for every round is several passes one after the other.
-
-ROUNDS = 60
+# valid; every flag is computed from the model's own output.
 
 _PART = "d[CAST(floor(len(d) * {}) AS BIGINT) + 1]"
 _VALIDATION = f"""(SELECT snaps.* FROM snaps, {_DATES} WHERE observation_date >= {_PART.format("0.7e0")}
@@ -267,7 +264,7 @@ def l5(t):
 
 @query("l6_boosted", _SCORED + _VALIDATION)
 def l6(t):
-    return _scored_sample(t, estimators.boosted(REPEAT_FEATURES, TARGET, rounds=ROUNDS))
+    return _scored_sample(t, estimators.boosted(REPEAT_FEATURES, TARGET))
 
 
 @query("l8_kmeans_regimes")
@@ -293,9 +290,7 @@ def l16(t):
 
 
 def _repeat_champion(t):
-    boosted = {"Gradient Boosted Trees": lambda: estimators.boosted(REPEAT_FEATURES, TARGET, rounds=ROUNDS)}
-    candidates = {**repeat.CANDIDATES, **boosted}
-    return candidates, *repeat.train_candidates(t.snapshot_table, candidates)
+    return repeat.CANDIDATES, *repeat.train_candidates(t.snapshot_table, repeat.CANDIDATES)
 
 
 @query(
