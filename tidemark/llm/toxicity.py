@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from tidemark.llm.labelled import held_out, training_rows
 
 #: Labelled documents from which training learns, at most, by class; none is longer than LONGEST characters.
-TRAIN_ROWS = {1: 1200, 0: 2400}
-LONGEST = 6_000
+TRAIN_ROWS = {1: 1500, 0: 3000}
+LONGEST = 8_000
 BUCKET_BITS = 18
 DIM = 8
 #: Half a run: runs are this many words and the as many that follow, at every such step.
