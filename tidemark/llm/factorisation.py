@@ -117,6 +117,8 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Ma
     statistics = np.array([s for _, _, s in features(texts)]).reshape(-1, len(STATISTICS))
     middle = statistics.mean(axis=0) if len(y) else np.zeros(len(STATISTICS))
     spread = np.maximum(statistics.std(axis=0), 1e-3) if len(y) else np.ones(len(STATISTICS))
+    if len(y):
+        spread[np.ptp(statistics, axis=0) == 0] = np.inf  # nothing was learnt of what never varied: it counts as 0
     m = Machine(0.0, np.zeros(size), draw.normal(0, 0.02, (size, RANK)), middle, spread)
     if len(set(labels)) < 2:
         m.vectors[:] = 0
