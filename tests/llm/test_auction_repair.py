@@ -150,4 +150,4 @@ def test_empty_and_long(spark):
     n = 100_000
     cost, audit = ar.cheapest_edits("ua" * (n // 2))
     assert cost == 0 and audit == "K" * n
-    assert ar.cheapest_edits("u8" * 20_000)[0] == plain_edits([("u", False, False), ("u", True, False)] * 20_000)[0]
+    assert ar.cheapest_edits("u8" * 300) == plain_edits([("u", False, False), ("u", True, False)] * 300)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import auction_repair, blob_ledger, factorisation, gamma_sampling, interleave, jaccard_join, line_rules, packing, poisson_mix, toxicity, warc
+from tidemark.llm import auction_repair, blob_ledger, factorisation, gamma_sampling, interleave, jaccard_join, line_rules, packing, poisson_mix, reduced_alphabet, toxicity, warc
 from tidemark.plans.staging import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def _op10(spark: SparkSession, directory: str) -> DataFrame:
 def _op12(spark: SparkSession, directory: str) -> DataFrame:
     damaged = auction_repair.damaged(table(spark, directory, "conversations"))
     return auction_repair.repaired_digests(damaged, copies="copies")
+
+
+@query("op11_reduced_alphabet")
+def _op11(spark: SparkSession, directory: str) -> DataFrame:
+    return reduced_alphabet.spelling_variants(table(spark, directory, "documents"), reduced_alphabet.NOISE)
