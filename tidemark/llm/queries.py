@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import auction_repair, blob_ledger, factorisation, gamma_sampling, interleave, jaccard_join, line_rules, packing, poisson_mix, reduced_alphabet, toxicity, warc
+from tidemark.llm import auction_repair, blob_ledger, factorisation, gamma_sampling, interleave, jaccard_join, line_rules, packing, poisson_mix, reduced_alphabet, toxicity, two_stage_suffixes, warc
 from tidemark.plans.staging import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,13 @@ def _op12(spark: SparkSession, directory: str) -> DataFrame:
 @query("op11_reduced_alphabet")
 def _op11(spark: SparkSession, directory: str) -> DataFrame:
     return reduced_alphabet.spelling_variants(table(spark, directory, "documents"), reduced_alphabet.NOISE)
+
+
+@query("op13_two_stage_sorting")
+def _op13(spark: SparkSession, directory: str) -> DataFrame:
+    found = two_stage_suffixes.without_repeats(table(spark, directory, "documents").select("doc_id", "text"))
+    length = F.transform("spans", lambda x: x["end"] - x["start"])
+    removed = F.aggregate(length, F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
