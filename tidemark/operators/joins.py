@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.timeline import interval_join
+
 SALTS = 16
 
 
@@ -51,19 +53,17 @@ def salted_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def within_join(
-    facts: DataFrame, anchors: DataFrame, key: str, at: str, start: str, low: Column, high: Column, salts: int = SALTS
-) -> DataFrame:
-    """Facts with ``start + low < at <= start + high`` of their key's anchor (one anchor row per key)."""
-    joined = salted_join(facts, anchors, key, "inner", salts)
-    return joined.where((F.col(at) > F.col(start) + low) & (F.col(at) <= F.col(start) + high))
+def within_join(facts: DataFrame, anchors: DataFrame, key: str, at: str, start: str, low: Column, high: Column) -> DataFrame:
+    """Facts with ``start + low < at <= start + high`` of an anchor of their key, once for each such anchor."""
+    spans = anchors.dropna(subset=[start]).withColumns({"_opens": F.col(start) + low, "_closes": F.col(start) + high})
+    return interval_join(facts, spans, [key], at, "_opens", "_closes", closed="right").drop("_opens", "_closes")
 
 
-def order_violation_join(
-    facts: DataFrame, dim: DataFrame, key: str, earlier: str, later: str, salts: int = SALTS
-) -> DataFrame:
+def order_violation_join(facts: DataFrame, dim: DataFrame, key: str, earlier: str, later: str) -> DataFrame:
     """Fact rows whose ``earlier`` instant comes before the ``later`` one they must follow."""
-    return salted_join(facts, dim, key, "inner", salts).where(F.col(earlier) < F.col(later))
+    due = dim.dropna(subset=[later])
+    due = due.withColumn("_ever", F.lit(None).cast(due.schema[later].dataType))
+    return interval_join(facts, due, [key], earlier, "_ever", later, closed="neither").drop("_ever")
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

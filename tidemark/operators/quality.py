@@ -13,7 +13,7 @@ from tidemark.functions.labels import not_in_domain
 from tidemark.functions.numeric import ratio
 from tidemark.functions.temporal import unparseable
 from tidemark.operators.cleaning import EVENT_KEY, key_counts
-from tidemark.operators.joins import order_violation_join, orphans
+from tidemark.operators.joins import orphans, salted_join
 from tidemark.operators.lifecycle import COMPLETED, FAILED, exchanges
 from tidemark.operators.ranking import exact_quantiles
 
@@ -121,7 +121,7 @@ def tx_before_signup(tx: DataFrame, users: DataFrame) -> DataFrame:
     """Transactions dated before the user's signup; equal instants of a user are counted before the join."""
     instants = key_counts(tx.where(F.col("user_id").isNotNull()), ["user_id", "transaction_timestamp"])
     signups = users.select("user_id", "signup_timestamp")
-    early = order_violation_join(instants, signups, "user_id", "transaction_timestamp", "signup_timestamp")
+    early = salted_join(instants, signups, "user_id").where("transaction_timestamp < signup_timestamp")
     return early.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("issue_count"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.registry import aggregations, columns, experiments, market, modelling, quality, sources, users
+from tidemark.registry import aggregations, columns, experiments, market, modelling, quality, sources, timelines, users
 from tidemark.registry.base import REGISTRY, oracle_sql, queries
 
 __all__ = [
@@ -16,5 +16,6 @@ __all__ = [
     "quality",
     "queries",
     "sources",
+    "timelines",
     "users",
 ]
