@@ -142,7 +142,7 @@ def plain_sessions(found, gap):
         instants.sort()
         number, start, last, n = 0, None, None, 0
         for at in [*instants, None]:
-            if last is not None and (at is None or at - last >= gap):
+            if last is not None and (at is None or at - last > gap):
                 number += 1
                 out.append((user, number, start, last, n))
                 start, n = None, 0

@@ -89,10 +89,15 @@ def user_lifecycle(users: DataFrame, tx: DataFrame, events: DataFrame, activatio
     Both fact tables shrink to one row per user with map-side combining before they meet ``users``, so a
     user holding a large share of the facts never makes a large join group.
     """
-    first = "first_successful_transaction_at"
     joined = users.join(success_summary(tx), "user_id", "left").join(
         event_flag(events, RATE_ALERT_EVENT, "rate_alert_user_flag"), "user_id", "left"
     )
+    return lifecycle_columns(joined, activation_days)
+
+
+def lifecycle_columns(joined: DataFrame, activation_days: int = 14) -> DataFrame:
+    """The mart's columns from users with their summaries beside them."""
+    first = "first_successful_transaction_at"
     derived = {
         "days_to_kyc": round_half_up(elapsed("signup_timestamp", "kyc_completed_at"), 2),
         "activation_days_exact": round_half_up(elapsed("signup_timestamp", first), 2),

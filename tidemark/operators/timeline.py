@@ -154,17 +154,17 @@ def interval_join(
 
 
 def _numbered(df: DataFrame, part: Sequence[str], start: str, end: str, gap: timedelta, out: str) -> DataFrame:
-    """A running number that grows where a row starts ``gap`` or more after the one before it ended."""
+    """A running number that grows where a row starts more than ``gap`` after the one before it ended."""
     order = W.partitionBy(*part).orderBy(start)
-    opens = F.lag(end).over(order).isNull() | (F.col(start) >= F.lag(end).over(order) + F.lit(gap))
+    opens = F.lag(end).over(order).isNull() | (F.col(start) > F.lag(end).over(order) + F.lit(gap))
     return df.withColumn("_opens", opens.cast("int")).withColumn(out, F.sum("_opens").over(order)).drop("_opens")
 
 
 def sessions(events: DataFrame, gap: timedelta, user: str = "user_id", at: str = "event_timestamp") -> DataFrame:
-    """(user, session_number, session_start, session_end, events): runs of a user's events less than ``gap`` apart.
+    """(user, session_number, session_start, session_end, events): runs of a user's events at most ``gap`` apart.
 
     Rows of one instant are counted first.  Sessions are found inside each day, so a user with most of the events is spread
-    over the calendar, and day by day results that are less than ``gap`` apart across midnight are merged; a user
+    over the calendar, and results of days that are at most ``gap`` apart across midnight are merged; a user
     has at most a day's length over ``gap`` of them in a day.  Events without a user or an instant are in no session.
     """
     instants = events.dropna(subset=[user, at]).groupBy(user, at).agg(F.count(F.lit(1)).alias("events"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import Window as W
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import count_where, exact_sum, pct
 from tidemark.operators import lifecycle, timeline
-from tidemark.registry.base import money, pct as pct_sql, query
+from tidemark.plans import increments
+from tidemark.plans.staging import shared_dir
+from tidemark.registry import base
+from tidemark.registry.base import money, query
+from tidemark.streaming import milestones
 
 #: Half of the transactions are in one pair.
 _PAIR = "CASE WHEN transaction_id % 10 < 5 THEN 'N' WHEN transaction_id % 10 < 8 THEN 'A' ELSE 'R' END"
@@ -61,7 +66,7 @@ def j15(t):
 @query(
     "a28_behavior_by_rate_move",
     f"""SELECT rate_move, COUNT(*) AS transaction_attempts, SUM(CAST(transaction_status = 'completed' AS INTEGER)) AS successful_transactions,
-               {pct_sql("SUM(CAST(transaction_status = 'completed' AS INTEGER))", "COUNT(*)")} AS success_rate,
+               {base.pct("SUM(CAST(transaction_status = 'completed' AS INTEGER))", "COUNT(*)")} AS success_rate,
                {money("transaction_amount_krw")} AS attempted_volume_krw
         FROM (SELECT *, CASE WHEN rate IS NULL OR prior IS NULL THEN 'unknown' WHEN rate > prior THEN 'up' WHEN rate < prior THEN 'down'
                              ELSE 'flat' END AS rate_move
@@ -137,12 +142,12 @@ def j17(t):
     "w13_sessions",
     """SELECT user_id, session_number, MIN(event_timestamp) AS session_start, MAX(event_timestamp) AS session_end, COUNT(*) AS events
        FROM (SELECT *, SUM(opens) OVER (PARTITION BY user_id ORDER BY event_timestamp) AS session_number
-             FROM (SELECT *, CASE WHEN event_timestamp < lag(event_timestamp) OVER (PARTITION BY user_id ORDER BY event_timestamp)
+             FROM (SELECT *, CASE WHEN event_timestamp <= lag(event_timestamp) OVER (PARTITION BY user_id ORDER BY event_timestamp)
                                        + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM app_events))
        GROUP BY user_id, session_number""",
 )
 def w13(t):
-    """Runs of a user's events less than twelve hours apart."""
+    """Runs of a user's events at most twelve hours apart."""
     return timeline.sessions(t.events, timedelta(hours=12))
 
 
@@ -160,3 +165,28 @@ def w14(t):
         tries, ["user_id"], "transaction_timestamp", "transaction_amount_krw", timedelta(days=90), "volume_90d", "transactions_90d"
     )
     return found.select("transaction_id", "user_id", "volume_90d", "transactions_90d")
+
+
+@query("m9_streamed_lifecycle", "SELECT * FROM mart")
+def m9(t):
+    """The mart from streams over files of its three sources, a few files in each batch, started twice on one checkpoint."""
+    folder = f"{shared_dir(t.spark)}/milestones-{uuid.uuid4().hex}"
+    sources = {"users": t.users, "tx": t.tx, "events": t.events}
+    opened = []
+    for name, df in sources.items():
+        df.repartition(6, F.xxhash64(*df.columns)).write.parquet(f"{folder}/{name}")
+        opened.append(t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/{name}"))
+    for _ in range(2):
+        stream = milestones.milestone_stream(*opened)
+        milestones.start(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return milestones.merged(t.spark, f"{folder}/out")
+
+
+@query("s13_incremental_mart", "SELECT * FROM mart")
+def s13(t):
+    """The mart kept up by three increments of whole months."""
+    store = f"{shared_dir(t.spark)}/success-{uuid.uuid4().hex}"
+    year = F.year("transaction_timestamp")
+    for part in (year < 1997, (year >= 1997) & (year < 1999), year >= 1999):
+        increments.add_days(store, t.tx.where(part), "month")
+    return increments.user_lifecycle(store, t.users, t.events)
