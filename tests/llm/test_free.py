@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -87,7 +88,6 @@ def test_pieces_hold_the_tokenizers_ids(odd):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    plain.encode_special_tokens = True
     texts = odd.unionByName(
         odd.sparkSession.createDataFrame(
             [(900, "a  b \n c  d\t e  ", "", "", 0), (901, "  <|endoftext|> it's  'll 12 3\n\n x ", "", "", 0), (902, " ", "", "", 0)], odd.schema
@@ -110,6 +110,38 @@ def test_pieces_hold_the_tokenizers_ids(odd):
     assert dict(have) == once
 
 
+def test_parts_keep_the_tokenizers_ids():
+    """Strings of odd white space, signs, scripts and the special token, taken apart and put together, against an untouched tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    plain, own = Tokenizer.from_file(path), packing.PartTokenizer(path)
+    draw = random.Random(6)
+    bits = [" ", " ", " ", "\n", "\t", "\r", "\u00a0", "\u2003", "\u3000", "\u0085", "\u1680", "\x1c", "a", "word", "Été", "straße", "12", "3.5", "'s", "'ll",
+            ".", ",", "...", "!?", "—", "«", "»", "×", "÷", "日本", "𝄞", "<|endoftext|>", "<|end", "|>", "_", "\0", "é", "É.", "ñ,", "²", "½;"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(14))) for _ in range(30_000)]
+    for at in range(0, len(texts), 1000):
+        some = [t.encode() for t in texts[at : at + 1000]]
+        flat, ends = own.flat(np.frombuffer(b"".join(some), dtype=np.uint8), np.cumsum([0] + [len(t) for t in some]))
+        for text, ids in zip(texts[at : at + 1000], np.split(flat, ends[:-1]), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert plain.encode("end here <|endoftext|> next", add_special_tokens=False).ids == [437, 994, 220, 50256, 1306]
+
+
+def test_forgetting_parts_changes_nothing(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    data = np.frombuffer(" ".join(f"word{i} and" for i in range(500)).encode(), dtype=np.uint8)
+    whole = packing.PartTokenizer(path).flat(data, np.array([0, 700, len(data)]))
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    again = packing.PartTokenizer(path)
+    for _ in range(2):
+        for a, b in zip(whole, again.flat(data, np.array([0, 700, len(data)])), strict=True):
+            assert a.tolist() == b.tolist()
+
+
 def test_sequences_are_gapless(odd):
     pieces = packing.token_pieces(odd.withColumn("rank", F.lit(1)), capacity=100, keep_ids=True)
     rows = packing.packed(pieces, capacity=100).collect()

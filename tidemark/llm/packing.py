@@ -11,9 +11,8 @@ of its length.
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -31,30 +30,70 @@ CAPACITY = 2048
 #: The id that ends each document.
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers.
+#: Parts of texts whose ids a worker remembers, and their bytes.
 REMEMBERED = 800_000
-_BATCH_CHARS = 1 << 20
-_GAP = re.compile(r"\s\s")
-_PART = re.compile(r" [^ \n]*|[^ \n]+|\n")
-_SIGNS = frozenset(".,;:!?")
+REMEMBERED_BYTES = 1 << 26
+_BATCH_BYTES = 1 << 21
 
+_ASCII = np.arange(256)
+_WHITE = np.isin(_ASCII, [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+_LETTER = np.isin(_ASCII, [ord(c) for c in string.ascii_letters + string.digits])
+_SIGN = np.isin(_ASCII, [ord(c) for c in ".,;:!?"])
 
-class WordTokenizer:
-    """Ids of texts, as little-endian bytes, by way of a memory of words.
 
-    Byte-level BPE here never joins across a space between other characters than white space, nor across a line end
-    between such, nor from a letter or digit to one of a few signs.  The text is taken apart there, and each different
-    part is tokenised once.  In a text where white-space characters meet, only the first rule is used, and
-    parts around such places stay together.
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space of any script."""
+    white = _WHITE[data]
+    for lead, ends in ((0xC2, (b"\x85", b"\xa0")), (0xE1, (b"\x9a\x80",)), (0xE2, _E2_SPACES), (0xE3, (b"\x80\x80",))):
+        for at in np.flatnonzero(data == lead).tolist():
+            rest = data[at + 1 : at + 3].tobytes()
+            for end in ends:
+                if rest.startswith(end):
+                    white[at : at + 1 + len(end)] = True
+    return white
+
+
+_E2_SPACES = tuple(chr(c).encode()[1:] for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F))
+
+
+def part_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places where texts that lie behind one another can be taken apart without changing their ids; text starts included.
+
+    Byte-level BPE never joins across a space between characters other than white space (the space goes with what
+    follows), across a line end between such, or from a letter or digit to a sign.  Letters beyond ASCII are only known for
+    the two-byte ones of Latin-1.
     """
+    n = len(data)
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[starts] = True
+    if n > 2:
+        first = cut[:n].copy()
+        dark = ~_white(data)
+        lone = np.zeros(n, dtype=bool)
+        lone[1:-1] = dark[:-2] & dark[2:] & ~first[1:-1] & ~first[2:]
+        space, line = lone & (data == 0x20), lone & (data == 0x0A)
+        cut[:n] |= space | line
+        cut[1:] |= line
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7) & (data[1:] >= 0x80)
+        cut[1:n] |= _SIGN[data[1:]] & letter[:-1]
+    return np.flatnonzero(cut[:n])
+
+
+class PartTokenizer:
+    """Ids of texts by way of a memory of their parts: each different part is tokenised once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         (self.line_end,) = self._encoded(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.held = 0
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,89 +103,97 @@ class WordTokenizer:
         """Whether a part keeps its ids between line ends: it has none, and no other white space at its ends than one space."""
         return not p[-1].isspace() and "\n" not in p and (not p[0].isspace() or p[0] == " " and not p[1].isspace())
 
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        out: list[str] = []
-        if not _GAP.search(text):
-            for p in _PART.findall(text):
-                if p[-1] in _SIGNS and len(p) > 1 and p[-2].isalnum():
-                    out += (p[:-1], p[-1])
-                else:
-                    out.append(p)
-            return out
-        words = text.split(" ")
-        first, rest = words[0], [" " + w for w in words[1:]]
-        for p in [first, *rest] if first else rest:
-            if out and (out[-1][-1].isspace() or len(p) == 1 or p[1].isspace()):
-                out[-1] += p
-            else:
-                out.append(p)
-        return out
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        taken = [self.parts(t) for t in texts]
-        new = list({p for parts in taken for p in parts}.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({p for parts in taken for p in parts})
-        lined = [p for p in new if self._stands_alone(p)]
+    def _learn(self, parts: list[bytes]) -> None:
+        texts = [p.decode() for p in parts]
+        alone = [self._stands_alone(t) for t in texts]
+        found: dict[int, np.ndarray] = {}
+        lined = [i for i, ok in enumerate(alone) if ok]
         for at in range(0, len(lined), 2048):
             some = lined[at : at + 2048]
-            ids = np.array(self._encoded(["\n".join(some)])[0], dtype="<u4")
-            cuts = np.flatnonzero(ids == self.line_end)
-            for p, a, b in zip(some, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), strict=True):
-                self.known[p] = ids[a:b].tobytes()
-        others = [p for p in new if p not in self.known]
+            ids = np.array(self._encoded(["\n".join(texts[i] for i in some)])[0], dtype="<u4")
+            found |= zip(some, np.split(ids, np.flatnonzero(ids == self.line_end)), strict=True)
+            found |= {i: found[i][1:] for i in some[1:]}
+        others = [i for i, ok in enumerate(alone) if not ok]
         for at in range(0, len(others), 2048):
             some = others[at : at + 2048]
-            self.known |= {p: array("I", e).tobytes() for p, e in zip(some, self._encoded(some), strict=True)}
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in taken]
-
-
-_workers: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str | None) -> WordTokenizer:
+            found |= {i: np.array(e, dtype="<u4") for i, e in zip(some, self._encoded([texts[i] for i in some]), strict=True)}
+        for i, part in enumerate(parts):
+            self.number[part] = len(self.ids)
+            self.ids.append(found[i])
+        self.held += sum(map(len, parts))
+
+    def flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): ids of texts that lie behind one another, and where each text's ids end."""
+        starts = part_starts(data, offsets[:-1][np.diff(offsets) > 0])
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        if len(self.number) + len(parts) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self._forget()
+        new = [p for p in parts if p not in self.number]
+        if new:
+            self._learn(new)
+        own = [self.ids[self.number[p]] for p in parts]
+        which = coded.indices.to_numpy()
+        if not len(which):
+            return np.empty(0, "<u4"), np.zeros(len(offsets) - 1, dtype=np.int64)
+        sizes = np.array([len(x) for x in own], dtype=np.int64)
+        begin = np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        upto = np.cumsum(lengths)
+        places = np.repeat(begin[which] - upto + lengths, lengths) + np.arange(upto[-1])
+        before = np.append(0, upto)
+        return np.concatenate(own)[places], before[np.searchsorted(bounds, offsets[1:], side="left")]
+
+
+_workers: dict[str, PartTokenizer] = {}
+
+
+def _tokenizer(path: str | None) -> PartTokenizer:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
     if path not in _workers:
-        _workers[path] = WordTokenizer(path)
+        _workers[path] = PartTokenizer(path)
     return _workers[path]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_END_BYTES = END.to_bytes(4, "little")
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row behind the last, bytes, offsets) of some rows at a time, of about _BATCH_BYTES or one text."""
+    texts = column.fill_null("").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _BATCH_BYTES, side="right")) - 1)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     tokenizer = _tokenizer(path)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
-
-    def made(ids: list, texts: list[str]) -> pa.RecordBatch:
-        rows = []
-        for doc_id, data in zip(ids, tokenizer.ids(texts), strict=True):
-            data += END.to_bytes(4, "little")
-            total = len(data) // 4
-            first = (total - 1) % capacity + 1
-            cuts = [0, *range(first, total + 1, capacity)]
-            for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                part = data[4 * a : 4 * b]
-                rows.append((doc_id, n, a, b - a, zlib.crc32(part)) + (part,) * keep_ids)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(i)
-            texts.append(t.as_py() or "")
-            size += len(texts[-1])
-            if size >= _BATCH_CHARS:
-                yield made(ids, texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield made(ids, texts)
+        ids = batch.column(0).to_pylist()
+        for low, high, data, offsets in _slices(batch.column(1)):
+            flat, ends = tokenizer.flat(data, offsets)
+            raw, rows, begin = flat.tobytes(), [], 0
+            for doc_id, end in zip(ids[low:high], ends.tolist(), strict=True):
+                total = end - begin + 1
+                first = (total - 1) % capacity + 1
+                cuts = [0, *range(first, total + 1, capacity)]
+                for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    part = raw[4 * (begin + a) : 4 * min(begin + b, end)] + (_END_BYTES if b == total else b"")
+                    rows.append((doc_id, n, a, b - a, zlib.crc32(part)) + (part,) * keep_ids)
+                begin = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def token_pieces(
