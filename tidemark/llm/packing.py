@@ -11,6 +11,7 @@ of its length.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ REMEMBERED = 800_000
 REMEMBERED_BYTES = 1 << 26
 _BATCH_BYTES = 1 << 21
 
+#: Parts that keep their ids between line ends: without one, and without other white space at their ends than one space.
+_ALONE = re.compile(r" ?\S(?:[^\n]*\S)?")
 _ASCII = np.arange(256)
 _WHITE = np.isin(_ASCII, [*range(0x09, 0x0E), *range(0x1C, 0x21)])
 _LETTER = np.isin(_ASCII, [ord(c) for c in string.ascii_letters + string.digits])
@@ -92,35 +95,41 @@ class PartTokenizer:
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.held = 0
+        self.pool = np.empty(1 << 20, dtype="<u4")
+        self.begin = np.empty(1 << 16, dtype=np.int64)
+        self.size = np.empty(1 << 16, dtype=np.int64)
+        self.used = self.held = 0
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _stands_alone(p: str) -> bool:
-        """Whether a part keeps its ids between line ends: it has none, and no other white space at its ends than one space."""
-        return not p[-1].isspace() and "\n" not in p and (not p[0].isspace() or p[0] == " " and not p[1].isspace())
+    def _keep(self, parts: list[bytes], ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        have, known = len(self.number), len(self.number) + len(parts)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while known > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.begin[have:known], self.size[have:known] = begin + self.used, size
+        self.number |= zip(parts, range(have, known), strict=True)
+        self.used += len(ids)
+        self.held += sum(map(len, parts))
 
     def _learn(self, parts: list[bytes]) -> None:
-        texts = [p.decode() for p in parts]
-        alone = [self._stands_alone(t) for t in texts]
-        found: dict[int, np.ndarray] = {}
-        lined = [i for i, ok in enumerate(alone) if ok]
+        texts = {p: p.decode() for p in parts}
+        lined = [p for p, t in texts.items() if _ALONE.fullmatch(t)]
         for at in range(0, len(lined), 2048):
             some = lined[at : at + 2048]
-            ids = np.array(self._encoded(["\n".join(texts[i] for i in some)])[0], dtype="<u4")
-            found |= zip(some, np.split(ids, np.flatnonzero(ids == self.line_end)), strict=True)
-            found |= {i: found[i][1:] for i in some[1:]}
-        others = [i for i, ok in enumerate(alone) if not ok]
+            ids = np.array(self._encoded(["\n".join(texts[p] for p in some)])[0], dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            begin = np.append(0, ends + 1)
+            self._keep(some, ids, begin, np.append(ends, len(ids)) - begin)
+        others = list(set(parts).difference(lined))
         for at in range(0, len(others), 2048):
             some = others[at : at + 2048]
-            found |= {i: np.array(e, dtype="<u4") for i, e in zip(some, self._encoded([texts[i] for i in some]), strict=True)}
-        for i, part in enumerate(parts):
-            self.number[part] = len(self.ids)
-            self.ids.append(found[i])
-        self.held += sum(map(len, parts))
+            found = self._encoded([texts[p] for p in some])
+            size = np.array([len(x) for x in found], dtype=np.int64)
+            self._keep(some, np.array([x for f in found for x in f], dtype="<u4"), np.cumsum(size) - size, size)
 
     def flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): ids of texts that lie behind one another, and where each text's ids end."""
@@ -133,17 +142,15 @@ class PartTokenizer:
         new = [p for p in parts if p not in self.number]
         if new:
             self._learn(new)
-        own = [self.ids[self.number[p]] for p in parts]
-        which = coded.indices.to_numpy()
-        if not len(which):
+        if not parts:
             return np.empty(0, "<u4"), np.zeros(len(offsets) - 1, dtype=np.int64)
-        sizes = np.array([len(x) for x in own], dtype=np.int64)
-        begin = np.cumsum(sizes) - sizes
-        lengths = sizes[which]
+        own = np.fromiter(map(self.number.__getitem__, parts), dtype=np.int64, count=len(parts))
+        which = own[coded.indices.to_numpy()]
+        lengths = self.size[which]
         upto = np.cumsum(lengths)
-        places = np.repeat(begin[which] - upto + lengths, lengths) + np.arange(upto[-1])
+        places = np.repeat(self.begin[which] - upto + lengths, lengths) + np.arange(upto[-1])
         before = np.append(0, upto)
-        return np.concatenate(own)[places], before[np.searchsorted(bounds, offsets[1:], side="left")]
+        return self.pool[places], before[np.searchsorted(bounds, offsets[1:], side="left")]
 
 
 _workers: dict[str, PartTokenizer] = {}
