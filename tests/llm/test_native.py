@@ -150,6 +150,12 @@ def test_counts_are_inverted_poisson_numbers(odd):
     assert keys == sorted(keys)
 
 
+def test_texts_are_not_dealt_out_by_source(odd):
+    """The only exchange of texts is the final sort; the rates are broadcast by their size."""
+    text = poisson_mix.poisson_mix(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
+
+
 def test_mix_reaches_target_shares(spark):
     docs = spark.range(6000).select(
         F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("source")

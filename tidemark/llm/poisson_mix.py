@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.staging import staged
+
 SEED = 11
 #: Without given weights a source weighs its share of characters to this power, which lifts small sources.
 POWER = 0.7
@@ -71,7 +73,8 @@ def poisson_mix(
     An empty table gives an empty result.  The rate table joins by Spark's own size check.
     """
     rated = rates(docs, weights, power, epochs, by, text_col)
-    rated = rated.select(F.struct("source", "rate", "cdf").alias("mix"))
+    # Written, so that Spark knows its size and the texts needn't be dealt out by source to meet it.
+    rated = staged(rated.select(F.struct("source", "rate", "cdf").alias("mix")), "mix-rates")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     source, own = F.col("doc").getField(by), F.col("doc").getField(id_col).cast("string")
     joined = packed.join(rated, source.eqNullSafe(F.col("mix.source")))

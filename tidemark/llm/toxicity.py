@@ -11,6 +11,7 @@ worst so far, under the document's label.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -200,9 +201,20 @@ def train(texts: list[str], labels: list[int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int, int] | None = None) -> Model:
-    """A model from a bounded sample of labelled documents; see TRAIN_ROWS.  Without both classes it is constant."""
-    got = training_rows(docs, labels, label, rows or TRAIN_ROWS, LONGEST, SEED).orderBy("doc_id", "text").toArrow()
-    return train(got.column("text").to_pylist(), got.column("y").to_pylist())
+    """A model from a bounded sample of labelled documents; see TRAIN_ROWS.  Without both classes it is constant.
+
+    The sample goes to one task, which trains; the driver gets the model alone.
+    """
+    sample = training_rows(docs, labels, label, rows or TRAIN_ROWS, LONGEST, SEED)
+    trained = sample.repartition(1).mapInArrow(_trained, "model binary").head()
+    return pickle.loads(trained[0]) if trained else train([], [])
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "y")), strict=True))
+    if rows:
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
@@ -239,8 +251,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score ``threshold`` or more; all columns pass."""
     kept = docs.columns
-    found = scored(docs.withColumnRenamed("toxicity", "__toxicity") if "toxicity" in kept else docs, fit(docs, labels))
+    aside = "toxicity_" + "_".join(c for c in kept if c.startswith("toxicity"))  # longer than any such name, so a new one
+    found = scored(docs.withColumnRenamed("toxicity", aside), fit(docs, labels))
     found = found.where(F.col("toxicity") < threshold).drop("toxicity")
-    return found.withColumnRenamed("__toxicity", "toxicity").select(*[F.col(f"`{c}`") for c in kept])
+    return found.withColumnRenamed(aside, "toxicity").select(*[F.col(f"`{c}`") for c in kept])
 
 
