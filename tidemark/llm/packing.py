@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.interleave import fractional_ranks
+from tidemark.llm.memory import give_back
 from tidemark.plans.staging import staged
 
 CAPACITY = 2048
@@ -201,6 +202,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int,
                     rows.append((doc_id, n, a, b - a, zlib.crc32(part)) + (part,) * keep_ids)
                 begin = end
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    give_back()
 
 
 def token_pieces(

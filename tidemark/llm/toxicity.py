@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.labelled import held_out, training_rows
+from tidemark.llm.memory import give_back
 
 #: Labelled documents from which training learns, at most, by class; none is longer than LONGEST characters.
 TRAIN_ROWS = {1: 1500, 0: 3000}
@@ -213,8 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted(r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "y")), strict=True))
     if rows:
-        model = train([r[1] for r in rows], [r[2] for r in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        model = pickle.dumps(train([r[1] for r in rows], [r[2] for r in rows]))
+        rows.clear()
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
@@ -225,6 +228,7 @@ def _scored(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array(told.value.score(texts), pa.float64())], [*part.schema.names[:-1], "toxicity"]
             )
+    give_back()
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
