@@ -33,9 +33,9 @@ CAPACITY = 2048
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts of texts whose ids a worker remembers, and their bytes.
-REMEMBERED = 800_000
-REMEMBERED_BYTES = 1 << 26
-_BATCH_BYTES = 1 << 21
+REMEMBERED = 400_000
+REMEMBERED_BYTES = 1 << 25
+_BATCH_BYTES = 1 << 20
 
 #: Parts that keep their ids between line ends: without one, and without other white space at their ends than one space.
 _ALONE = re.compile(r" ?\S(?:[^\n]*\S)?")
