@@ -270,11 +270,12 @@ TABLES = {
 
 
 def with_tables(sql: str) -> str:
-    """Put the tables a statement names, and the ones those name, in front of it."""
+    """Put the tables a statement names, and the ones those name, in front of it; those named more than once are worked out once."""
     wanted, text = [], sql
     for name, body in reversed(TABLES.items()):
         if re.search(rf"\b{name}\b", text):
-            wanted.append(f"{name} AS ({body})")
+            often = len(re.findall(rf"\b{name}\b", text)) > 1
+            wanted.append(f"{name} AS {'MATERIALIZED ' if often else ''}({body})")
             text += body
     if not wanted:
         return sql
