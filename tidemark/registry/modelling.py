@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import round_half_up
 from tidemark.models import estimators, metrics, repeat, splits, volatility
 from tidemark.operators import market, quality
-from tidemark.operators.snapshots import REPEAT_FEATURES, TARGET, latest
+from tidemark.operators.snapshots import REPEAT_FEATURES, TARGET
 from tidemark.registry.base import query, rnd
 from tidemark.registry.market import _WIDE as WIDE
 from tidemark.registry.market import _CELLS as CELLS
@@ -64,13 +64,23 @@ def l2(t):
     )
 
 
+_TRAIN = f"observation_date < (SELECT d[CAST(floor(len(d) * 0.7e0) AS BIGINT) + 1] FROM {_DATES})"
+_TEST = f"observation_date >= (SELECT d[CAST(floor(len(d) * 0.85e0) AS BIGINT) + 1] FROM {_DATES})"
+
+
+def _part(t, name: str):
+    """Snapshots of one part of the split by dates."""
+    return splits.split_labels(t.snapshot_table).where(F.col("split") == name).drop("split")
+
+
 @query(
     "l4_class_weights",
-    f"""SELECT target_repeat_30d, {rnd("(SELECT COUNT(*) FROM snaps) / (2e0 * COUNT(*))", 10)} AS class_weight,
-               COUNT(*) AS rows FROM snaps GROUP BY 1""",
+    f"""SELECT target_repeat_30d, {rnd(f"(SELECT COUNT(*) FROM snaps WHERE {_TRAIN}) / (2e0 * COUNT(*))", 10)} AS class_weight,
+               COUNT(*) AS rows FROM snaps WHERE {_TRAIN} GROUP BY 1""",
 )
 def l4(t):
-    weighted = estimators.with_weights(t.snapshot_table, TARGET)
+    """Weights of the part that is trained on."""
+    weighted = estimators.with_weights(_part(t, "train"), TARGET)
     return weighted.groupBy(TARGET).agg(
         round_half_up(F.max(estimators.WEIGHT), 10).alias("class_weight"), F.count(F.lit(1)).alias("rows")
     )
@@ -79,10 +89,11 @@ def l4(t):
 @query(
     "l7_majority_baseline",
     f"""SELECT {rnd("AVG(CASE WHEN target_repeat_30d = m THEN 1 ELSE 0 END)", 10)} AS accuracy, MAX(m) AS predicted
-        FROM newest, (SELECT mode(target_repeat_30d) AS m FROM snaps)""",
+        FROM snaps, (SELECT mode(target_repeat_30d) AS m FROM snaps WHERE {_TRAIN}) WHERE {_TEST}""",
 )
 def l7(t):
-    guessed = estimators.majority(latest(t.snapshot_table), t.snapshot_table, TARGET)
+    """The most frequent label of the train part, judged on the test part."""
+    guessed = estimators.majority(_part(t, "test"), _part(t, "train"), TARGET)
     hit = F.when(F.col(TARGET) == F.col("prediction"), 1).otherwise(0)
     return guessed.agg(round_half_up(F.avg(hit), 10).alias("accuracy"), F.max("prediction").alias("predicted"))
 

@@ -1,4 +1,4 @@
-"""Data-quality checks.  Driver tables are clean where the reference's are, so some checks plant defects by rule."""
+"""Data-quality checks.  The test tables are clean, so some checks plant defects by rule."""
 
 from __future__ import annotations
 
