@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.registry import aggregations, columns, estimates, experiments, market, modelling, quality, sources, timelines, users
+from tidemark.registry import aggregations, columns, comparisons, estimates, experiments, market, modelling, quality, sources, timelines, users
 from tidemark.registry.base import REGISTRY, oracle_sql, queries
 
 __all__ = [
     "REGISTRY",
     "aggregations",
     "columns",
+    "comparisons",
     "estimates",
     "experiments",
     "market",
