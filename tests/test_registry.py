@@ -16,7 +16,6 @@ DATA = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.001")
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 # Market models need the unbroken daily series of the next larger data folder.
 LARGER = "/root/testdata/sf0.01"
-ROWS_ONLY = ["l8_kmeans_regimes", "l23_regime_metadata"]
 # Many model fits each; run by tests/compare.py, and their parts by test_market_and_models.py.
 LONG = {"l5_forest", "l6_boosted", "l17_repeat_champion", "l18_regime_comparison", "l19_best_per_definition", "l21_score_latest", "l22_regime_predictions", "l24_mlp"}
 
@@ -28,7 +27,7 @@ def duck():
     return connect(DATA)
 
 
-FITTED = ["l16_importance", "l20_refit", "l3_logistic", "s11_model_bundle"]
+FITTED = ["l16_importance", "l20_refit", "l23_regime_metadata", "l26_softmax_boosting", "l3_logistic", "l8_kmeans_regimes", "s11_model_bundle"]
 
 
 @pytest.mark.parametrize("name", FITTED)
@@ -43,11 +42,6 @@ def test_matches_sql(spark, duck, name):
     assert ok, note
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only(spark, name):
-    assert QUERIES[name](spark, LARGER).count() > 0
-
-
 def test_contract(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() == 5

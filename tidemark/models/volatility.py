@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import first_match, recode
-from tidemark.models.estimators import fit, forest, logistic, score
+from tidemark.models.estimators import WEIGHT, fit, forest, logistic, score
 from tidemark.models.metrics import class_metrics
 from tidemark.models.repeat import select_champion
+from tidemark.models.softmax_boosting import SoftmaxBoosting
 from tidemark.models.splits import split_by_position
 from tidemark.operators.market import TARGET
 from tidemark.operators.ranking import best_pair, best_per, exact_quantiles
@@ -98,6 +99,11 @@ def candidates(features: Sequence[str]) -> dict[str, Callable[[], Pipeline]]:
     }
 
 
+def softmax_boosted(features: Sequence[str], rounds: int = 24, depth: int = 3, step: float = 0.1) -> Pipeline:
+    """A further candidate: boosting on the softmax loss; every level of a round is a pass over the rows."""
+    return Pipeline(stages=[SoftmaxBoosting(features, LABEL, len(CLASSES), WEIGHT, rounds, depth, step)])
+
+
 def regime_of(prediction: str | Column = "prediction") -> Column:
     p = F.col(prediction) if isinstance(prediction, str) else prediction
     return recode(p, {float(i): c for i, c in enumerate(CLASSES)})

@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.labels import recode
 from tidemark.functions.numeric import round_half_up
 from tidemark.models import estimators, metrics, repeat, splits, volatility
 from tidemark.operators import market, quality
 from tidemark.operators.snapshots import REPEAT_FEATURES, TARGET
+from tidemark.plans.staging import shared_dir, staged
 from tidemark.registry.base import query, rnd
 from tidemark.registry.market import _WIDE as WIDE
 from tidemark.registry.market import _CELLS as CELLS
@@ -241,12 +243,16 @@ def u3(t):
 _PART = "d[CAST(floor(len(d) * {}) AS BIGINT) + 1]"
 _VALIDATION = f"""(SELECT snaps.* FROM snaps, {_DATES} WHERE observation_date >= {_PART.format("0.7e0")}
                    AND observation_date < {_PART.format("0.85e0")})"""
-_SCORED = """SELECT user_id, CAST(observation_date AS VARCHAR) AS observation_date, target_repeat_30d,
-                    TRUE AS probability_valid, TRUE AS prediction_valid FROM """
-_TEST_DATES = f"""SELECT CAST("date" AS VARCHAR) AS "date", TRUE AS probabilities_valid, TRUE AS regime_valid
+_SAMPLE = "SELECT user_id, CAST(observation_date AS VARCHAR) AS observation_date, target_repeat_30d, TRUE AS probability_valid, TRUE AS prediction_valid"
+_SCORED = f"{_SAMPLE} FROM "
+_LEARNT = f"{_SAMPLE}, TRUE AS beats_chance FROM "
+_TEST_DATES = f"""SELECT CAST("date" AS VARCHAR) AS "date", TRUE AS probabilities_valid, TRUE AS regime_valid, TRUE AS beats_majority
                   FROM ({_POSITION}) WHERE i >= floor(n * 0.8e0)"""
 
 
+_DEFINITIONS = (volatility.QUANTILE_DEFINITION, volatility.KMEANS_DEFINITION)
+
+
 def _repeat_train(t):
     train, validation, _ = splits.split_by_dates(t.snapshot_table)
     return train, validation
@@ -259,27 +265,46 @@ def _valid(probability: str, prediction: str):
 def _scored_sample(t, pipeline):
     train, validation = _repeat_train(t)
     model = estimators.fit(pipeline, train, REPEAT_FEATURES, TARGET)
-    scored = estimators.score(model, validation, REPEAT_FEATURES)
-    return scored.select("user_id", "observation_date", TARGET, *_valid("probability_1", "prediction"))
+    scored = staged(estimators.score(model, validation, REPEAT_FEATURES), "scored-sample")
+    # Rows that a model can't tell apart have an area of 0.5.
+    learnt = metrics.roc_auc(scored, TARGET, "probability_1").select(F.col("roc_auc") > 0.5).scalar()
+    return scored.select("user_id", "observation_date", TARGET, *_valid("probability_1", "prediction"), learnt.alias("beats_chance"))
 
 
-@query("l3_logistic", _SCORED + _VALIDATION)
+@query("l3_logistic", _LEARNT + _VALIDATION)
 def l3(t):
     return _scored_sample(t, estimators.logistic(REPEAT_FEATURES, TARGET))
 
 
-@query("l5_forest", _SCORED + _VALIDATION)
+@query("l5_forest", _LEARNT + _VALIDATION)
 def l5(t):
     return _scored_sample(t, estimators.forest(REPEAT_FEATURES, TARGET))
 
 
-@query("l6_boosted", _SCORED + _VALIDATION)
+@query("l6_boosted", _LEARNT + _VALIDATION)
 def l6(t):
     return _scored_sample(t, estimators.boosted(REPEAT_FEATURES, TARGET))
 
 
-@query("l8_kmeans_regimes")
+#: The best three means of the train part's values: clusters of numbers are stretches of their order, so all pairs of cuts are tried.
+_THREE_MEANS = f"""w AS MATERIALIZED ({_POSITION}),
+      tr AS MATERIALIZED (SELECT ROW_NUMBER() OVER o AS k, SUM(target_next_abs_return) OVER (o ROWS UNBOUNDED PRECEDING) AS s
+                          FROM w WHERE i < floor(n * 0.8e0) WINDOW o AS (ORDER BY target_next_abs_return)),
+      whole AS (SELECT MAX(k) AS n, MAX_BY(s, k) AS s FROM tr),
+      means AS MATERIALIZED (
+          SELECT a.s / a.k AS c1, (b.s - a.s) / (b.k - a.k) AS c2, (e.s - b.s) / (e.n - b.k) AS c3
+          FROM tr a JOIN tr b ON a.k < b.k, whole e WHERE b.k < e.n
+          ORDER BY a.s * a.s / a.k + (b.s - a.s) * (b.s - a.s) / (b.k - a.k) + (e.s - b.s) * (e.s - b.s) / (e.n - b.k) DESC LIMIT 1)"""
+
+
+@query(
+    "l8_kmeans_regimes",
+    f"""WITH {_THREE_MEANS}
+        SELECT CASE WHEN target_next_abs_return <= (c1 + c2) / 2 THEN 'low' WHEN target_next_abs_return <= (c2 + c3) / 2 THEN 'normal'
+                    ELSE 'high' END AS actual_regime, COUNT(*) AS dates FROM w, means GROUP BY 1""",
+)
 def l8(t):
+    """Dates by regime; the best of the starts is the exact optimum."""
     train, test = splits.split_by_position(t.fx_table)
     regimes = volatility.kmeans_regimes(train)
     named = volatility.with_regime(t.fx_table, regimes)
@@ -328,19 +353,18 @@ def _fx_names(t):
     return [c for c in market.columns_matching(t.fx_table) if c != market.TARGET]
 
 
-_DEFINITIONS = (volatility.QUANTILE_DEFINITION, volatility.KMEANS_DEFINITION)
-
-
 @query(
     "l18_regime_comparison",
     " UNION ALL ".join(
-        f"SELECT '{d}' AS regime_definition, '{m}' AS model, TRUE AS metrics_valid" for d in _DEFINITIONS for m in volatility.candidates([])
+        f"SELECT '{d}' AS regime_definition, '{m}' AS model, TRUE AS metrics_valid, TRUE AS beats_majority" for d in _DEFINITIONS for m in volatility.candidates([])
     ),
 )
 def l18(t):
-    compared = volatility.compare_regimes(t.fx_table, _fx_names(t))[0]
+    compared, fitted = volatility.compare_regimes(t.fx_table, _fx_names(t))
+    floors = {d: _majority_f1(held) for (d, _), (_, _, held) in fitted.items()}
+    floor = recode("regime_definition", floors)
     valid = F.col("accuracy").between(0, 1) & F.col("f1_macro").between(0, 1) & F.col("balanced_accuracy").between(0, 1)
-    return compared.select("regime_definition", "model", valid.alias("metrics_valid"))
+    return compared.select("regime_definition", "model", valid.alias("metrics_valid"), (F.col("f1_macro") > floor).alias("beats_majority"))
 
 
 @query(
@@ -380,12 +404,23 @@ def l20(t):
     return scored.select("user_id", "observation_date", TARGET, *_valid("repeat_probability", "predicted_repeat_30d"))
 
 
+def _majority_f1(held) -> float:
+    """Macro F1 of a guess that always names the held-out dates' most frequent regime: the best that no model gives."""
+    counts = [r["count"] for r in held.groupBy("actual_regime").count().collect()]
+    share = max(counts) / sum(counts)
+    return 2 * share / (1 + share) / len(volatility.CLASSES)
+
+
 def _valid_predictions(shown):
+    shown = staged(shown, "regime-predictions")
+    found = metrics.class_metrics(shown, "actual_regime", "predicted_regime", volatility.CLASSES)
+    learnt = found.select(F.col("f1_macro") > _majority_f1(shown)).scalar()
     shares = [F.col(f"prob_{c}") for c in volatility.CLASSES]
     total = F.abs(shares[0] + shares[1] + shares[2] - 1) < 1e-9
     inside = shares[0].between(0, 1) & shares[1].between(0, 1) & shares[2].between(0, 1)
     return shown.select(
-        "date", (total & inside).alias("probabilities_valid"), F.col("predicted_regime").isin(*volatility.CLASSES).alias("regime_valid")
+        "date", (total & inside).alias("probabilities_valid"), F.col("predicted_regime").isin(*volatility.CLASSES).alias("regime_valid"),
+        learnt.alias("beats_majority"),
     )
 
 
@@ -399,11 +434,28 @@ def l22(t):
     return _valid_predictions(volatility.predictions(model, held, names))
 
 
-@query("l23_regime_metadata")
+@query(
+    "l23_regime_metadata",
+    f"""WITH {_THREE_MEANS},
+        q AS (SELECT quantile_cont(target_next_abs_return, 0.33) AS lo, quantile_cont(target_next_abs_return, 0.67) AS hi
+              FROM w WHERE i < floor(n * 0.8e0)),
+        d AS (SELECT CAST(MAX("date") FILTER (WHERE i < floor(n * 0.8e0)) AS VARCHAR) AS train_end,
+                     CAST(MIN("date") FILTER (WHERE i >= floor(n * 0.8e0)) AS VARCHAR) AS test_start FROM w)
+        SELECT '{_DEFINITIONS[0]}' AS regime_definition, 'train_quantile' AS method, {rnd("lo", 10)} AS low_threshold, {rnd("hi", 10)} AS high_threshold,
+               NULL AS cluster_centers, NULL AS regimes, train_end, test_start, 'lineitem' AS data_provider FROM q, d
+        UNION ALL SELECT '{_DEFINITIONS[1]}', 'train_kmeans_1d_abs_return', NULL, NULL, printf('%.8f, %.8f, %.8f', c1, c2, c3), 'high,low,normal',
+               train_end, test_start, 'lineitem' FROM means, d""",
+)
 def l23(t):
+    """Constants of both definitions; cluster numbers depend on the start, so centres come by size and regimes by name."""
     train, test = splits.split_by_position(t.fx_table)
     fitted = [volatility.quantile_regimes(train), volatility.kmeans_regimes(train)]
-    return volatility.regime_metadata(train, test, fitted, "lineitem")
+    found = volatility.regime_metadata(train, test, fitted, "lineitem")
+    centers = F.array_join(F.array_sort(F.split("cluster_centers", ", ")), ", ")
+    names = F.array_join(F.array_sort(F.regexp_extract_all("cluster_to_regime", F.lit("'([a-z]+)'"), F.lit(1))), ",")
+    return found.withColumns(
+        {"cluster_centers": centers, "regimes": names, **{c: round_half_up(c, 10) for c in ("low_threshold", "high_threshold")}}
+    ).drop("cluster_to_regime")
 
 
 @query("l24_mlp", _TEST_DATES)
@@ -415,11 +467,19 @@ def l24(t):
     return _valid_predictions(volatility.predictions(model, volatility.with_regime(test, regimes), names))
 
 
+@query("l26_softmax_boosting", _TEST_DATES)
+def l26(t):
+    """Boosted trees for three classes, with shares that sum to one."""
+    names = _fx_names(t)
+    train, test = splits.split_by_position(t.fx_table)
+    regimes = volatility.quantile_regimes(train)
+    model = estimators.fit(volatility.softmax_boosted(names), volatility.with_regime(train, regimes), names, volatility.LABEL)
+    return _valid_predictions(volatility.predictions(model, volatility.with_regime(test, regimes), names))
+
+
 @query("s11_model_bundle", f"SELECT COUNT(*) AS rows, 0 AS mismatches FROM {_VALIDATION}")
 def s11(t):
     """Save a fitted pipeline with its description, load it, and score with both."""
-    from tidemark.plans.staging import shared_dir
-
     train, validation = _repeat_train(t)
     model = estimators.fit(estimators.logistic(REPEAT_FEATURES, TARGET), train, REPEAT_FEATURES, TARGET)
     path = f"{shared_dir(t.spark)}/repeat-model-{uuid.uuid4().hex}"
