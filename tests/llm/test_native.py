@@ -202,3 +202,25 @@ def test_counts_and_verdicts(spark):
     assert got[201].kept and got[201].clean_text == good
     assert not got[202].kept and not got[202].base_failed
     assert not got[203].kept and not got[205].kept
+
+
+FINISHED = "A short one ends.\nAnd so does this!\nOr this one?"
+
+
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten, Firma und Partner 2024.", "Tous droits réservés par la maison et ses amis.",
+                                  "Todos los derechos reservados por la casa y socios.", "Diese Seite verwendet Cookies für alle Besucher hier.",
+                                  "Startseite und noch mehr.", "Retour aux pages.", "Inicio y otros.", "\tHome page."])
+def test_lines_of_four_languages_go(spark, line):
+    docs = spark.createDataFrame([(1, f"{FINISHED}\n{line}"), (2, f"{FINISHED}\r\n{line}\r".replace("\n", "\r\n"))], "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in line_rules.line_first(docs).collect()}
+    assert got[1] == FINISHED
+    assert got[2].split() == FINISHED.split()
+
+
+def test_line_ends_do_not_change_a_verdict(spark):
+    """Carriage returns and other white space at a line's ends; words that only begin like a menu's."""
+    lines = ["Nexte Woche kommt er.", "Backen macht ihm Freude.", "Kontakte sind gut.", "Homer wrote it.", "Suchen hilft nicht immer."] * 12
+    rows = [(i, end.join(lines)) for i, end in enumerate(["\n", "\r\n", " \t\n", "\n\t", "\x0b\n"])]
+    got = line_rules.line_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {len(r.clean_text.split()) for r in got} == {len(" ".join(lines).split())}
+    assert len({r.kept for r in got}) == 1

@@ -12,14 +12,27 @@ SYMBOLS = "#*$%&|<>"
 KEPT_SHARE = 0.5
 #: A line's share of symbols beyond which it is no prose.
 SYMBOL_SHARE = 0.1
-#: Words by which short lines are taken for navigation, and phrases of boilerplate, in lower case.
-NAVIGATION = r"^(home|menu|next|previous|back|login|log in|sign in|sign up|search|share|read more|skip to|contact us|about us)\b"
+#: Words by which short lines are taken for navigation, and phrases of boilerplate, in lower case: English, German, French, Spanish.
+NAVIGATION = (
+    r"^(home|menu|next|previous|back|login|log in|sign in|sign up|search|share|read more|skip to|contact us|about us|"
+    r"startseite|menü|weiter|zurück|anmelden|registrieren|suche|teilen|mehr lesen|weiterlesen|zum inhalt|kontakt|über uns|"
+    r"accueil|suivant|précédent|retour|connexion|se connecter|s'inscrire|rechercher|partager|lire la suite|aller au contenu|"
+    r"contactez-nous|à propos|"
+    r"inicio|menú|siguiente|anterior|volver|iniciar sesión|registrarse|buscar|compartir|leer más|ir al contenido|contacto|"
+    r"sobre nosotros)([^a-zà-ÿ]|$)"
+)
 BOILERPLATE = (
     r"all rights reserved|terms of (use|service)|privacy policy|use of cookies|cookie policy|enable javascript|"
-    r"javascript is (disabled|required)|lorem ipsum|subscribe to our newsletter|click here"
+    r"javascript is (disabled|required)|lorem ipsum|subscribe to our newsletter|click here|"
+    r"alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|verwendet cookies|verwendung von cookies|javascript aktivieren|"
+    r"newsletter abonnieren|klicken sie hier|"
+    r"tous droits réservés|conditions d'utilisation|politique de confidentialité|utilise des cookies|utilisation de cookies|"
+    r"activer javascript|abonnez-vous à notre|cliquez ici|"
+    r"todos los derechos reservados|condiciones de uso|términos de uso|política de privacidad|utiliza cookies|uso de cookies|"
+    r"activar javascript|suscríbete a nuestr|haga clic aquí"
 )
 #: The end of a finished line, and two signs that part the items of a menu.
-CLOSED = r"""[.!?:;,…。！？"'”’»)\]]\x20*\z"""
+CLOSED = r"""[.!?:;,…。！？"'”’»)\]]\z"""
 CRUMBS = r"[|»›>·][^|»›>·]+[|»›>·]"
 SHORT_LINE = 5
 #: A repeated run of so many words counts against a text.
@@ -32,8 +45,12 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule: no closing punctuation on a short line, navigation, boilerplate, or symbols."""
-    words = F.size(F.split(F.trim(line), SPACE))
+    """Whether a line breaks a rule: no closing punctuation on a short line, navigation, boilerplate, or symbols.
+
+    White space at both ends doesn't count, so lines that end in a carriage return are judged like others.
+    """
+    line = F.btrim(line, F.lit(_SPACE_CHARS))
+    words = F.size(F.split(line, SPACE))
     unfinished = (words < SHORT_LINE) & ~line.rlike(CLOSED)
     lower = F.lower(line)
     navigation = (words < 2 * SHORT_LINE) & (lower.rlike(NAVIGATION) | line.rlike(CRUMBS))
@@ -124,9 +141,9 @@ WITH texts AS (
   SELECT doc_id, len(w) AS n_words, length(translate(t, {_SQL_SPACES}, '')) AS word_chars,
     length(t) - length(translate(t, {_quoted(SYMBOLS)}, '')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
-    list_sum(list_transform(list_filter(lines, lambda x: NOT (
-      (len(regexp_split_to_array(trim(x), '{SPACE}')) < {SHORT_LINE} AND NOT regexp_matches(x, {_quoted(CLOSED)}))
-      OR (len(regexp_split_to_array(trim(x), '{SPACE}')) < {2 * SHORT_LINE}
+    list_sum(list_transform(list_filter(list_transform(lines, lambda y: trim(y, {_SQL_SPACES})), lambda x: NOT (
+      (len(regexp_split_to_array(x, '{SPACE}')) < {SHORT_LINE} AND NOT regexp_matches(x, {_quoted(CLOSED)}))
+      OR (len(regexp_split_to_array(x, '{SPACE}')) < {2 * SHORT_LINE}
           AND (regexp_matches(lower(x), {_quoted(NAVIGATION)}) OR regexp_matches(x, {_quoted(CRUMBS)})))
       OR regexp_matches(lower(x), {_quoted(BOILERPLATE)})
       OR length(x) - length(translate(x, {_quoted(SYMBOLS)}, '')) > {SYMBOL_SHARE}::DOUBLE * length(x)
