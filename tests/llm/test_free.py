@@ -227,6 +227,18 @@ def test_fingerprints_of_odd_rows(odd, empty):
     assert fingerprints(empty).count() == 0
 
 
+def test_fingerprints_where_most_rows_have_no_id(spark):
+    """They don't share a key: each is edited by itself, and equal texts have equal fingerprints."""
+    rows = [(i if i % 10 == 0 else None, prose(i % 7, 60)) for i in range(200)] + [(None, None), (None, ""), (-(2**63), "least id")]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), samples=8).collect()
+    assert len(got) == len(rows)
+    nameless = [r for r in got if r.doc_id is None]
+    halves = {(len(t or ""), hashlib.sha256((t or "")[: len(t or "") - len(t or "") // 2].encode()).hexdigest()) for i, t in rows if i is None}
+    assert {(r.n_chars, r.edited_sha256) for r in nameless} == halves and len(nameless) == 182
+    assert len({r.fingerprint for r in got}) == 9
+    assert [r.near_next is not None for r in got if r.doc_id == -(2**63)] == [True]
+
+
 def test_likeness_counts_equal_samples(spark):
     row = spark.createDataFrame([("00010002", "00010003")], "a string, b string").select(likeness(F.col("a"), F.col("b"), 2)).first()
     assert row[0] == 0.5

@@ -19,7 +19,6 @@ SEED = 5
 #: Ids are put in order in ranges of about so many rows; texts are grouped in parts of about so many characters.
 RANGE_ROWS = 1 << 17
 PART_CHARS = 8_000_000
-_NO_ID = -(2**63)
 
 
 def _sample(k: int) -> Column:
@@ -75,6 +74,31 @@ def successors(ids: DataFrame) -> DataFrame:
     return dealt.join(firsts, "part").select("doc_id", "n_chars", F.coalesce(following, "after").alias("next_id"))
 
 
+def _signed(both: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """Fingerprints of ``text`` and of its edited form, which ends in ``head``; rows lie together by one of the keys already."""
+    n = F.char_length("text")
+    kept = F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))")
+    head = F.expr("substring(head, 1, cast(floor(char_length(text) / 2) as int))")
+    both = both.select(*keys, "text", F.concat(kept, F.coalesce(head, F.lit(""))).alias("edited"), n.alias("n"))
+    both = both.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
+    # Each text is split into words; the length and the sum's four parts travel as numbers among them.
+    numbers = [F.col("n").cast("string")] + [F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10) for i in range(4)]
+    bodies = F.array(*[F.struct(F.lit(i).alias("what"), c.alias("body")) for i, c in enumerate([F.col("text"), F.col("edited"), *numbers])])
+    words = both.select(*keys, F.explode(bodies).alias("x")).select(*keys, "x.what", F.explode(F.split("x.body", SPACE)).alias("word"))
+    term = F.when(F.col("what") >= 2, F.col("word").try_cast("long")).otherwise(F.xxhash64(F.lit(SEED), "word"))
+    counted = words.select(*keys, "what", term.alias("term")).groupBy(*keys, "what", "term").agg(
+        F.ln(F.count(F.lit(1)).cast("double")).alias("lw")
+    )
+    signed = _signatures(counted, [*keys, "what"], samples)
+    of = lambda i, c: F.max(F.when(F.col("what") == i, F.col(c)))
+    return signed.groupBy(*keys).agg(
+        of(0, "signature").alias("fingerprint"),
+        of(1, "signature").alias("edited_fingerprint"),
+        of(2, "raw").alias("n_chars"),
+        F.concat(*[F.lpad(F.hex(of(3 + i, "raw")), 16, "0") for i in range(4)]).alias("edited_sha256"),
+    )
+
+
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
 
@@ -87,9 +111,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
     Other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    # A key that is never null, so that both reads of the dealt texts have one plan and share one shuffle.
-    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"))
-    ids = own.where(F.col("doc_id") != _NO_ID).groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n_chars"))
+    whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    own, nameless = whole.where("doc_id IS NOT NULL"), whole.where("doc_id IS NULL")
+    ids = own.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n_chars"))
     after = staged(successors(staged(ids, "gamma-lengths")), "gamma-next")
     chars = after.agg(F.sum("n_chars")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
@@ -100,30 +124,13 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
     heads = heads.select("before", F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")).alias("head"))
     heads = heads.repartition(parts, "before").groupBy("before").agg(F.min("head").alias("head"))
     both = dealt.join(heads, dealt["doc_id"] == heads["before"], "left")
-    n = F.char_length("text")
-    kept = F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))")
-    head = F.expr("substring(head, 1, cast(floor(char_length(text) / 2) as int))")
-    both = both.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), "text", F.concat(kept, F.coalesce(head, F.lit(""))).alias("edited"), n.alias("n")
-    )
-    both = both.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
-    # Each text is split into words; the length and the sum's four parts travel as numbers among them.
-    numbers = [F.col("n").cast("string")] + [F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10) for i in range(4)]
-    bodies = F.array(*[F.struct(F.lit(i).alias("what"), c.alias("body")) for i, c in enumerate([F.col("text"), F.col("edited"), *numbers])])
-    words = both.select("doc_id", "row", F.explode(bodies).alias("x")).select("doc_id", "row", "x.what", F.explode(F.split("x.body", SPACE)).alias("word"))
-    term = F.when(F.col("what") >= 2, F.col("word").try_cast("long")).otherwise(F.xxhash64(F.lit(SEED), "word"))
-    counted = words.select("doc_id", "row", "what", term.alias("term")).groupBy("doc_id", "row", "what", "term").agg(
-        F.ln(F.count(F.lit(1)).cast("double")).alias("lw")
-    )
-    signed = _signatures(counted, ["doc_id", "row", "what"], samples)
-    of = lambda i, c: F.max(F.when(F.col("what") == i, F.col(c)))
-    gathered = signed.groupBy("doc_id", "row").agg(
-        of(0, "signature").alias("fingerprint"),
-        of(1, "signature").alias("edited_fingerprint"),
-        of(2, "raw").alias("n_chars"),
-        F.concat(*[F.lpad(F.hex(of(3 + i, "raw")), 16, "0") for i in range(4)]).alias("edited_sha256"),
-    )
-    signed = staged(gathered.drop("row").withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NO_ID))), "gamma-signed")
+    # Rows without an id would share one key; each goes by a number of its own, which only meets itself.
+    chars = nameless.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    alone = nameless.withColumn("row", F.monotonically_increasing_id()).withColumn("head", F.lit(""))
+    alone = alone.repartition(max(parts, -(-chars // PART_CHARS)), "row")
+    signed = _signed(both.withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"], samples)
+    signed = signed.unionByName(_signed(alone, ["row"], samples).withColumn("doc_id", F.lit(None).cast("long")))
+    signed = staged(signed.drop("row"), "gamma-signed")
     nexts = after.select("doc_id", "next_id").join(
         signed.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint")), "next_id"
     )
