@@ -21,15 +21,16 @@ NAVIGATION = (
     r"inicio|menú|siguiente|anterior|volver|iniciar sesión|registrarse|buscar|compartir|leer más|ir al contenido|contacto|"
     r"sobre nosotros)([^a-zà-ÿ]|$)"
 )
+#: A phrase begins where a word does, which also spares a look at every letter.
 BOILERPLATE = (
-    r"all rights reserved|terms of (use|service)|privacy policy|use of cookies|cookie policy|enable javascript|"
+    r"(?:^|[^a-zà-ÿ])(?:all rights reserved|terms of (use|service)|privacy policy|use of cookies|cookie policy|enable javascript|"
     r"javascript is (disabled|required)|lorem ipsum|subscribe to our newsletter|click here|"
     r"alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|verwendet cookies|verwendung von cookies|javascript aktivieren|"
     r"newsletter abonnieren|klicken sie hier|"
     r"tous droits réservés|conditions d'utilisation|politique de confidentialité|utilise des cookies|utilisation de cookies|"
     r"activer javascript|abonnez-vous à notre|cliquez ici|"
     r"todos los derechos reservados|condiciones de uso|términos de uso|política de privacidad|utiliza cookies|uso de cookies|"
-    r"activar javascript|suscríbete a nuestr|haga clic aquí"
+    r"activar javascript|suscríbete a nuestr|haga clic aquí)"
 )
 #: The end of a finished line, and two signs that part the items of a menu.
 CLOSED = r"""[.!?:;,…。！？"'”’»)\]]\z"""
