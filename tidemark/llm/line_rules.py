@@ -45,19 +45,22 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def _parts_of(line: Column) -> Column:
+    """What the rules look at, worked out once a line: the line itself, without white space at its ends, that in lower case, its words."""
+    bare = F.btrim(line, F.lit(_SPACE_CHARS))
+    return F.struct(line.alias("line"), bare.alias("bare"), F.lower(bare).alias("lower"), F.size(F.split(bare, SPACE)).alias("words"))
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule: no closing punctuation on a short line, navigation, boilerplate, or symbols.
+    """Whether a line (as ``_parts_of`` gives it) breaks a rule: no closing punctuation on a short line, navigation, boilerplate, or symbols.
 
     White space at both ends doesn't count, so lines that end in a carriage return are judged like others.
     """
-    line = F.btrim(line, F.lit(_SPACE_CHARS))
-    words = F.size(F.split(line, SPACE))
-    unfinished = (words < SHORT_LINE) & ~line.rlike(CLOSED)
-    lower = F.lower(line)
-    navigation = (words < 2 * SHORT_LINE) & (lower.rlike(NAVIGATION) | line.rlike(CRUMBS))
-    boilerplate = lower.rlike(BOILERPLATE)
-    symbols = F.char_length(line) - F.char_length(_without(line, SYMBOLS))
-    return unfinished | navigation | boilerplate | (symbols > SYMBOL_SHARE * F.char_length(line))
+    bare, lower, words = line["bare"], line["lower"], line["words"]
+    unfinished = (words < SHORT_LINE) & ~bare.rlike(CLOSED)
+    navigation = (words < 2 * SHORT_LINE) & (lower.rlike(NAVIGATION) | bare.rlike(CRUMBS))
+    symbols = F.char_length(bare) - F.char_length(_without(bare, SYMBOLS))
+    return unfinished | navigation | (symbols > SYMBOL_SHARE * F.char_length(bare)) | lower.rlike(BOILERPLATE)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -89,7 +92,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         | F.coalesce(F.get("sorted", j + 1)["h"] == x["h"], F.lit(False)),
     )
     covered = F.flatten(F.transform(twice, lambda x: F.array(*[x["i"] + k for k in range(RUN)])))
-    good = F.filter("lines", lambda x: ~line_fails(x))
+    good = F.transform(F.filter(F.transform("lines", _parts_of), lambda x: ~line_fails(x)), lambda x: x["line"])
     rows = rows.withColumn("n_repeat_words", F.size(F.array_distinct(covered)).cast("long")).withColumn("good", good)
     chars = lambda t: F.char_length(_without(t, _SPACE_CHARS)).cast("long")
     return rows.select(
