@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -281,6 +282,50 @@ def test_toxicity_on_held_out_documents(spark, odd, empty):
     assert toxicity.without_toxic(empty, labels).count() == 0
 
 
+def plain_bucket(gram: str) -> int:
+    first, *others = map(ord, gram)
+    h = first * 2654435761 % 2**32
+    for point in others:
+        h = ((h ^ (h >> 15)) * 2246822519 + point * 3266489917) % 2**32
+    h = (h + len(others)) % 2**32
+    return (h ^ (h >> 16)) * 2146121005 % 2**32 >> (32 - toxicity.BUCKET_BITS)
+
+
+def plain_score(model, text: str | None) -> float:
+    """The worst run's probability, run by run and n-gram by n-gram."""
+    words = (text or "").lower().split()
+    if not words:
+        return 0.0
+    padded = [f" {w} " for w in words]
+    gains = [[model.gain[plain_bucket(w[i : i + n])] for n in toxicity.SIZES for i in range(len(w) - n + 1)] for w in padded]
+    step = toxicity.STEP_WORDS
+    runs = [sum(gains[i : i + 2 * step], []) for i in range(0, len(words), step)]
+    odds = max(sum(r) / max(len(r), 1) for r in runs) + model.bias
+    return 1 / (1 + math.exp(-odds))
+
+
+@pytest.mark.parametrize("block", [40, 700, toxicity.BLOCK_CHARS])
+def test_toxicity_scores_equal_plain_runs(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", block)
+    model = toxicity.Model(np.random.default_rng(1).normal(0, 9, 1 << toxicity.BUCKET_BITS), -1.0)
+    texts = [r[1] for r in odd_rows()] + [prose(i, n) for i, n in enumerate([1, 5, 6, 7, 11, 12, 13, 40, 200])]
+    texts += ["\u2003" + "\u00a0é😀 I\u0307".join("abcdefgh") + "\n\n", " a  b\tc " * 50, "x" * 3000 + " y " + "z" * 900]
+    assert model.score(texts) == pytest.approx([plain_score(model, t) for t in texts], abs=1e-9)
+
+
+def test_runs_of_very_long_texts_are_scored_across_cuts():
+    """One bad word in a run that begins before the cut and ends behind it."""
+    model = toxicity.Model(np.zeros(1 << toxicity.BUCKET_BITS), -1.0)
+    for gram in ("gro", "onk", "nkl", "kle"):
+        model.gain[plain_bucket(gram)] = 40
+    words = prose(5, 30_000).split(" ")
+    for at in range(21_000, 27_000, 500):
+        words[at] = "gronkle"
+    text = " ".join(words)
+    assert len(text) > toxicity.BLOCK_CHARS
+    assert model.score([text, "home", text[:100]]) == pytest.approx([plain_score(model, t) for t in (text, "home", text[:100])], abs=1e-9)
+
+
 def test_quality_on_held_out_documents(spark, odd, empty):
     def make(i, bad):
         text = prose(3000 + i, 90)

@@ -52,7 +52,8 @@ def test_empty_tables(empty, spark):
 def test_shards_are_written_in_order(spark, odd, tmp_path):
     unique = odd.where("doc_id >= 10")
     places = interleave.interleaved(unique.select("doc_id", "source"), shards=3)
-    interleave.write_shards(unique, places, str(tmp_path / "out"))
+    clash = unique.withColumn("shard", F.lit("x")).withColumn("slot", F.lit("y"))
+    interleave.write_shards(clash, places, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == unique.count()
     assert {r.doc_id: r.shard for r in places.collect()} == {r.doc_id: r.shard for r in back.collect()}

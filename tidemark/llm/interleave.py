@@ -88,8 +88,11 @@ def interleaved(
 
 
 def write_shards(docs: DataFrame, places: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write whole documents into one folder for each shard, in slot order, given their unique ids' places."""
-    joined = docs.join(places.select(id_col, "shard", "slot"), id_col)
+    """Write whole documents into one folder for each shard, in slot order, given their unique ids' places.
+
+    Columns of ``docs`` named shard or slot are replaced by the places, as in ``interleaved``.
+    """
+    joined = docs.drop("shard", "slot").join(places.select(id_col, "shard", "slot"), id_col)
     joined.repartition("shard", F.floor(F.col("slot") / RANGE_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy(
         "shard"
     ).parquet(path)

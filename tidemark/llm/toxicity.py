@@ -12,6 +12,7 @@ worst so far, under the document's label.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -38,6 +39,7 @@ WARM, EPOCHS, RATE, SEED = 3, 8, 0.5, 3
 LOOKS, MOST_EPOCHS = 30_000, 60
 THRESHOLD = 0.3
 BLOCK_CHARS = 1 << 17
+_WORD = re.compile(r"\S+")
 
 
 @dataclass(frozen=True)
@@ -49,24 +51,40 @@ class Bags:
     text_of: np.ndarray
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts, or parts of long ones cut at white space, in blocks of about BLOCK_CHARS: (numbers of the texts, parts)."""
+def _parts(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in parts of about BLOCK_CHARS, and whether another follows.
+
+    A part ends with a whole half run, and the next begins with the same one, so every run lies whole in a part.
+    """
+    at = 0
+    while len(text) - at > BLOCK_CHARS:
+        halves, words = [], 0
+        for word in _WORD.finditer(text, at):
+            if words % STEP_WORDS == 0:
+                if len(halves) > 1 and word.start() - at >= BLOCK_CHARS:
+                    break
+                halves.append(word.start())
+            words += 1
+        else:
+            break
+        yield text[at : word.start()], True
+        at = halves[-1]
+    yield text[at:], False
+
+
+def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str], bool]]:
+    """Texts, or parts of long ones, in blocks of about BLOCK_CHARS: (numbers of the texts, parts, whether the last part goes on)."""
     numbers, parts, size = [], [], 0
     for number, text in enumerate(texts):
-        text, at = (text or "").lower(), 0
-        while at < len(text) or at == 0:
-            end = at + BLOCK_CHARS
-            while end < len(text) and not text[end].isspace():
-                end += 1
+        for part, goes_on in _parts((text or "").lower()):
             numbers.append(number)
-            parts.append(text[at:end])
-            size += len(parts[-1]) + 1
-            at = max(end, 1)
-            if size >= BLOCK_CHARS:
-                yield numbers, parts
+            parts.append(part)
+            size += len(part) + 1
+            if size >= BLOCK_CHARS:  # as after any part that goes on
+                yield numbers, parts, goes_on
                 numbers, parts, size = [], [], 0
     if parts:
-        yield numbers, parts
+        yield numbers, parts, False
 
 
 _SPACES = np.zeros(0x3001, dtype=bool)
@@ -131,9 +149,10 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Probability of class 1 of each text's worst run; 0 without words."""
         worst = np.full(len(texts), -np.inf)
-        for numbers, parts in _blocks(texts):
+        for numbers, parts, goes_on in _blocks(texts):
             b = bags(numbers, parts)
-            np.maximum.at(worst, b.text_of, self.runs(b))
+            scored = len(b.text_of) - goes_on  # a last half run that goes on is scored with what follows it
+            np.maximum.at(worst, b.text_of[:scored], self.runs(b)[:scored])
         return 1 / (1 + np.exp(-np.clip(worst, -700, 700))) * np.isfinite(worst)
 
 
@@ -148,7 +167,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros(size), -20.0 if not y.any() else 20.0)
-    blocks = [bags(numbers, parts) for numbers, parts in _blocks(texts)]
+    blocks = [bags(numbers, parts) for numbers, parts, _ in _blocks(texts)]  # none goes on, as LONGEST is less than a block
 
     def model():
         return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
