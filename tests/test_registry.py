@@ -17,7 +17,7 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 # Market models need the unbroken daily series of the next larger data folder.
 LARGER = "/root/testdata/sf0.01"
 # Many model fits each; run by tests/compare.py, and their parts by test_market_and_models.py.
-LONG = {"l5_forest", "l6_boosted", "l17_repeat_champion", "l18_regime_comparison", "l19_best_per_definition", "l21_score_latest", "l22_regime_predictions", "l24_mlp"}
+LONG = {"l5_forest", "l6_boosted", "l17_repeat_champion", "l18_regime_comparison", "l19_best_per_definition", "l21_score_latest", "l22_regime_predictions", "l24_mlp", "l27_repeat_flow", "l28_champion_evaluation"}
 
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test data")
 

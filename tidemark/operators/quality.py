@@ -196,17 +196,23 @@ def dq_report(
     mart: DataFrame,
     features: Sequence[str],
     allowed_channels: Sequence[str] = CHANNELS,
+    texts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """All checks as one report.  ``tables``: name to frame; users, events and transactions are required."""
+    """All checks as one report.  ``tables``: name to frame; users, events and transactions are required.
+
+    ``texts``: for a table, its timestamps as the source wrote them, over the columns of its frame.  Timestamps that
+    are typed already have nothing unreadable left, so date checks need these to find anything.
+    """
     users, events, tx = tables["users"], tables["events"], tables["transactions"]
+    written = {"users": "signup_timestamp", "events": "event_timestamp", "transactions": "transaction_timestamp"} | dict(texts or {})
     row_checks = {
         "users": {
-            "invalid_signup_date": unparseable("signup_timestamp"),
+            "invalid_signup_date": unparseable(written["users"]),
             "invalid_acquisition_channel": not_in_domain("acquisition_channel", allowed_channels),
         },
-        "events": {"invalid_event_date": unparseable("event_timestamp")},
+        "events": {"invalid_event_date": unparseable(written["events"])},
         "transactions": {
-            "invalid_transaction_date": unparseable("transaction_timestamp"),
+            "invalid_transaction_date": unparseable(written["transactions"]),
             "nonpositive_transaction_volume": F.col("transaction_amount_krw") <= 0,
         },
     }

@@ -53,6 +53,15 @@ EXPORTS: dict[str, Callable[[Inputs], DataFrame]] = {
 }
 
 
+def _write(made: Mapping[str, Callable[[], DataFrame]], directory: str, overwrite: bool, fmt: str) -> dict[str, float | None]:
+    took: dict[str, float | None] = {}
+    for name, make in made.items():
+        start = time.perf_counter()
+        wrote = write_extract(make(), f"{directory.rstrip('/')}/{name}", overwrite, fmt)
+        took[name] = time.perf_counter() - start if wrote else None
+    return took
+
+
 def export_all(
     inputs: Inputs,
     directory: str,
@@ -64,9 +73,9 @@ def export_all(
 
     ``prepare`` makes the inputs, with the shared ones written once.
     """
-    took: dict[str, float | None] = {}
-    for name, build in exports.items():
-        start = time.perf_counter()
-        wrote = write_extract(build(inputs), f"{directory.rstrip('/')}/{name}", overwrite, fmt)
-        took[name] = time.perf_counter() - start if wrote else None
-    return took
+    return _write({name: (lambda b=build: b(inputs)) for name, build in exports.items()}, directory, overwrite, fmt)
+
+
+def export_frames(frames: Mapping[str, DataFrame], directory: str, overwrite: bool = False, fmt: str = "csv") -> dict[str, float | None]:
+    """Write frames that are at hand, as the flows of ``model_flows`` give them, like entries of the catalogue."""
+    return _write({name: (lambda d=df: d) for name, df in frames.items()}, directory, overwrite, fmt)

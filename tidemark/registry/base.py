@@ -230,32 +230,30 @@ TABLES = {
                     WHEN transactions_90d = 0 THEN 'No recent transaction users'
                     WHEN failed_ratio_90d >= 0.15 THEN 'High failed-ratio users'
                     ELSE probability_segment || ' users' END AS risk_segment,
-               split_part(advice, '|', 1) AS recommended_action, split_part(advice, '|', 2) AS recommendation_reason
+               CASE WHEN value_segment = 'High value' AND repeat_probability < 0.50 THEN 'Priority retention outreach'
+                    WHEN failed_ratio_90d >= 0.15 THEN 'Reliability support message'
+                    WHEN repeat_probability < 0.35 AND transactions_90d = 0 THEN 'Reactivation education campaign'
+                    WHEN repeat_probability < 0.35 THEN 'Reactivation offer'
+                    WHEN repeat_probability < 0.70 AND target_rate_user_flag + rate_alert_user_flag = 0 THEN 'Rate-alert prompt'
+                    WHEN repeat_probability < 0.70 AND rate_alert_user_flag = 0 THEN 'Promote rate-alert adoption'
+                    WHEN repeat_probability >= 0.70 AND target_rate_user_flag = 0 THEN 'Target-rate upsell'
+                    ELSE 'Maintain engagement' END AS recommended_action,
+               CASE WHEN value_segment = 'High value' AND repeat_probability < 0.50 THEN 'High recent volume but repeat probability is below 50%.'
+                    WHEN failed_ratio_90d >= 0.15 THEN 'Recent failed transaction ratio is elevated.'
+                    WHEN repeat_probability < 0.35 AND transactions_90d = 0 THEN 'Low repeat probability and no transaction activity in the last 90 days.'
+                    WHEN repeat_probability < 0.35 THEN 'Low repeat probability despite some historical product activity.'
+                    WHEN repeat_probability < 0.70 AND target_rate_user_flag + rate_alert_user_flag = 0 THEN 'Medium repeat probability and no target-rate or rate-alert adoption yet.'
+                    WHEN repeat_probability < 0.70 AND rate_alert_user_flag = 0 THEN 'Medium repeat probability and rate-alert feature has not been adopted.'
+                    WHEN repeat_probability >= 0.70 AND target_rate_user_flag = 0 THEN 'High repeat probability and target-rate feature has not been adopted.'
+                    ELSE 'User already has strong repeat probability or feature engagement.' END AS recommendation_reason
         FROM (SELECT *,
-                CASE WHEN value_segment = 'High value' AND repeat_probability < 0.50
-                     THEN 'Priority retention outreach|High recent volume but repeat probability is below 50%.'
-                     WHEN failed_ratio_90d >= 0.15
-                     THEN 'Reliability support message|Recent failed transaction ratio is elevated.'
-                     WHEN repeat_probability < 0.35 AND transactions_90d = 0
-                     THEN 'Reactivation education campaign|Low repeat probability and no transaction activity in the last 90 days.'
-                     WHEN repeat_probability < 0.35
-                     THEN 'Reactivation offer|Low repeat probability despite some historical product activity.'
-                     WHEN repeat_probability < 0.70 AND target_rate_user_flag + rate_alert_user_flag = 0
-                     THEN 'Rate-alert prompt|Medium repeat probability and no target-rate or rate-alert adoption yet.'
-                     WHEN repeat_probability < 0.70 AND rate_alert_user_flag = 0
-                     THEN 'Promote rate-alert adoption|Medium repeat probability and rate-alert feature has not been adopted.'
-                     WHEN repeat_probability >= 0.70 AND target_rate_user_flag = 0
-                     THEN 'Target-rate upsell|High repeat probability and target-rate feature has not been adopted.'
-                     ELSE 'Maintain engagement|User already has strong repeat probability or feature engagement.'
-                END AS advice
-              FROM (SELECT *,
                       CASE WHEN total_volume_90d >= (SELECT quantile_cont(total_volume_90d, 0.75) FROM rich)
                            THEN 'High value' WHEN total_volume_90d > 0 THEN 'Active value'
                            ELSE 'No recent value' END AS value_segment,
                       CASE WHEN repeat_probability < 0.35 THEN 'Low repeat probability'
                            WHEN repeat_probability < 0.70 THEN 'Medium repeat probability'
                            ELSE 'High repeat probability' END AS probability_segment
-                    FROM rich))""",
+              FROM rich)""",
     "trial": """
         SELECT user_id, acquisition_channel,
                CASE WHEN successful_transaction_volume >= 10000000 THEN 'High value' ELSE 'Standard value' END

@@ -11,6 +11,8 @@ from tidemark.functions.numeric import round_half_up
 from tidemark.models import estimators, metrics, repeat, splits, volatility
 from tidemark.operators import market, quality
 from tidemark.operators.snapshots import REPEAT_FEATURES, TARGET
+from tidemark.operators.lifecycle import user_context
+from tidemark.plans import model_flows
 from tidemark.plans.staging import shared_dir, staged
 from tidemark.registry.base import query, rnd
 from tidemark.registry.market import _WIDE as WIDE
@@ -404,6 +406,48 @@ def l20(t):
     return scored.select("user_id", "observation_date", TARGET, *_valid("repeat_probability", "predicted_repeat_30d"))
 
 
+_TEST = f"""(SELECT snaps.* FROM snaps, {_DATES} WHERE observation_date >= {_PART.format("0.85e0")})"""
+
+
+@query(
+    "l27_repeat_flow",
+    """SELECT user_id, CAST(observation_date AS VARCHAR) AS observation_date, target_repeat_30d, recency_days, transactions_90d,
+              total_volume_90d, value_segment, acquisition_channel, total_volume_90d * CAST(0.00025 AS DOUBLE) AS estimated_fee_proxy_90d,
+              TRUE AS probability_valid, TRUE AS prediction_valid, TRUE AS segment_fits, TRUE AS risk_fits FROM target_a""",
+)
+def l27(t):
+    """Champion, refit, newest scores and targeting in one flow; segments follow the fitted scores."""
+    aimed = model_flows.repeat_flow(t.snapshot_table, user_context(t.mart))["user_repeat_targeting_dataset"]
+    p, high = F.col("repeat_probability"), F.col("value_segment") == "High value"
+    segment = F.when(p <= 0.35, "Low").when(p <= 0.7, "Medium").otherwise("High")
+    at_risk = high & (p < 0.5)
+    return aimed.select(
+        "user_id", "observation_date", TARGET, "recency_days", "transactions_90d", "total_volume_90d", "value_segment",
+        "acquisition_channel", "estimated_fee_proxy_90d", *_valid("repeat_probability", "predicted_repeat_30d"),
+        (F.concat(segment, F.lit(" repeat probability")) == F.col("probability_segment")).alias("segment_fits"),
+        ((F.col("risk_segment") == "High-value at-risk users") == at_risk).alias("risk_fits"),
+    )
+
+
+@query(
+    "l28_champion_evaluation",
+    f"""SELECT CASE target_repeat_30d WHEN 1 THEN 'Actual repeat' ELSE 'Actual no repeat' END AS actual, COUNT(*) AS cases,
+               TRUE AS report_agrees, TRUE AS beats_chance FROM {_TEST} GROUP BY 1""",
+)
+def l28(t):
+    """The champion's confusion matrix on the test part, its report by class, and its area over a guess on the validation part."""
+    metrics_of, fitted = repeat.train_candidates(t.snapshot_table)
+    test = model_flows.judged(fitted[repeat.champion(metrics_of)], t.snapshot_table)
+    no, yes = (F.col(f"Predicted {n}") for n in model_flows.OUTCOMES)
+    matrix = metrics.confusion(test, TARGET, "predicted", [0, 1], model_flows.OUTCOMES)
+    report = metrics.classification_report(test, TARGET, "predicted", ["0", "1"]).where("class IN ('0', '1')")
+    named = report.withColumn("actual", F.when(F.col("class") == "1", "Actual repeat").otherwise("Actual no repeat"))
+    right = F.when(F.col("actual") == "Actual repeat", yes).otherwise(no)
+    agrees = (F.col("support") == no + yes) & (F.abs(F.col("recall") * F.col("support") - right) < 1e-6)
+    learnt = metrics_of.agg(F.max("validation_roc_auc") > 0.5).scalar()
+    return matrix.join(named, "actual").select("actual", (no + yes).alias("cases"), agrees.alias("report_agrees"), learnt.alias("beats_chance"))
+
+
 def _majority_f1(held) -> float:
     """Macro F1 of a guess that always names the held-out dates' most frequent regime: the best that no model gives."""
     counts = [r["count"] for r in held.groupBy("actual_regime").count().collect()]

@@ -185,6 +185,18 @@ def _row(check, table, column, severity, detail, count):
                       CAST(({count}) AS BIGINT) AS issue_count, '{severity}' AS severity, {detail} AS detail"""
 
 
+def _unreadable(table: str, key: str, column: str) -> str:
+    return f"""SELECT COUNT(*) FILTER (WHERE s IS NOT NULL AND try_cast(s AS TIMESTAMP) IS NULL)
+               FROM (SELECT CASE WHEN {key} % 97 = 0 THEN 'not a date' WHEN {key} % 89 = 0 THEN '2024-13-45 00:00:00'
+                                 WHEN {key} % 83 = 0 THEN NULL ELSE CAST({column} AS VARCHAR) END AS s FROM {table})"""
+
+
+def _written(key: str, column: str):
+    """A typed timestamp as a source might have written it, with planted defects."""
+    k = F.col(key)
+    return F.when(k % 97 == 0, "not a date").when(k % 89 == 0, "2024-13-45 00:00:00").when(k % 83 != 0, F.col(column).cast("string"))
+
+
 _V = (quality.VALIDITY_TABLES, quality.VALIDITY_COLUMN, "error", f"'{quality.VALIDITY_DETAIL}'")
 _DOMAIN = ", ".join(f"'{c}'" for c in CHANNELS[:4])
 _REPORT = " UNION ALL ".join(
@@ -207,9 +219,9 @@ _REPORT = " UNION ALL ".join(
         *[
             _row(check, *_V, count)
             for check, count in {
-                "invalid_signup_date": "SELECT 0",
-                "invalid_event_date": "SELECT 0",
-                "invalid_transaction_date": "SELECT 0",
+                "invalid_signup_date": _unreadable("app_users", "user_id", "signup_timestamp"),
+                "invalid_event_date": _unreadable("app_events", "event_id", "event_timestamp"),
+                "invalid_transaction_date": _unreadable("app_tx", "transaction_id", "transaction_timestamp"),
                 "activation_before_signup": "SELECT COUNT(*) FROM mart WHERE first_successful_transaction_at < signup_timestamp",
                 "transaction_before_signup": """SELECT COUNT(*) FROM app_tx t JOIN app_users u ON u.user_id = t.user_id
                                                 WHERE t.transaction_timestamp < u.signup_timestamp""",
@@ -233,7 +245,12 @@ _REPORT = " UNION ALL ".join(
 
 
 def _report(t):
-    return quality.dq_report(_checked(t), t.mart, REPEAT_FEATURES, CHANNELS[:4])
+    texts = {
+        "users": _written("user_id", "signup_timestamp"),
+        "events": _written("event_id", "event_timestamp"),
+        "transactions": _written("transaction_id", "transaction_timestamp"),
+    }
+    return quality.dq_report(_checked(t), t.mart, REPEAT_FEATURES, CHANNELS[:4], texts)
 
 
 @query("q15_issue_report", _REPORT)
