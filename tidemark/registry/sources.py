@@ -115,7 +115,10 @@ def s10(t):
     return table.groupBy("onboarding_valid_flag").agg(F.count(F.lit(1)).alias("users"))
 
 
-_CATALOGUED = ("customer", "orders", "lineitem", "events", "conversations")
+_CATALOGUED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query(
