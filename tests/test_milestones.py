@@ -69,3 +69,18 @@ def test_session_stream_equals_the_batch(spark, tmp_path):
         "user_id", "CAST(session_start AS timestamp_ntz) AS session_start", "CAST(session_end AS timestamp_ntz) AS session_end", "events"
     )
     assert rows(got) == rows(sessions(df, timedelta(minutes=30)).select("user_id", "session_start", "session_end", "events"))
+
+
+def test_streamed_state_is_merged_by_spark(spark, tmp_path):
+    """A user's state takes no Python call of its own, and sums have all digits of the money type."""
+    people = [(i, "2024-01-01T00:00:00", "direct", None, None) for i in range(5)]
+    trades = [(i % 5, "2024-01-02T00:00:00", {"amount": 4e17 / 3}) for i in range(40)]
+    frames = users(spark, people), tx(spark, trades), events(spark, [(1, 1, "s", "2024-01-01T00:00:00", "view")])
+    for name, df in zip(("users", "tx", "events"), frames):
+        df.repartition(4).write.parquet(f"{tmp_path}/{name}")
+    stream = milestones.milestone_stream(*opened(spark, tmp_path))
+    query = milestones.start(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert query.awaitTermination(240)
+    operators = {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]}
+    assert operators == {"stateStoreSave"}
+    assert rows(milestones.merged(spark, f"{tmp_path}/out")) == rows(user_lifecycle(*frames))
