@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import threading
 from datetime import date, timedelta
 
 import numpy as np
@@ -265,3 +266,17 @@ def test_trees_of_merged_rows_learn_and_take_new_values(spark, make):
     model = estimators.fit(make(["a", "b"], "y", depth=3, **some), df, ["a", "b"], "y")
     new = spark.createDataFrame([(-50.0, 9.0), (100.0, None), (1e9, 0.0), (900.0, 1.0)], "a double, b double")
     assert [r["prediction"] for r in estimators.score(model, new, ["a", "b"]).collect()] == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_candidates_are_fitted_side_by_side(spark):
+    """Each waits for the other to begin."""
+    meet = threading.Barrier(2, timeout=60)
+    rows = [(u, date(2024, m, 28), u % 2 * 5 + m % 3, u % 5, 1.0 * u, 0.1, u % 2) for u in range(20) for m in range(1, 11)]
+    names = "user_id long, observation_date date, recency_days int, transactions_90d long, total_volume_90d double, failed_ratio_90d double, target_repeat_30d int"
+
+    def make():
+        meet.wait()
+        return estimators.logistic(snapshots.REPEAT_FEATURES, snapshots.TARGET, max_iter=5)
+
+    found, fitted = repeat.train_candidates(spark.createDataFrame(rows, names), {"one": make, "two": make})
+    assert list(fitted) == ["one", "two"] and [r["model"] for r in found.collect()] == ["one", "two"]
