@@ -263,7 +263,8 @@ def test_bins_keep_few_values_apart_and_cut_many_at_quantiles(spark):
 def test_trees_of_merged_rows_learn_and_take_new_values(spark, make):
     df = spark.sql("SELECT CAST(id % 1000 AS DOUBLE) AS a, IF(id % 7 = 0, NULL, id % 3 + 0.0D) AS b, IF(id % 1000 >= 700, 1, 0) AS y FROM range(20000)")
     some = {"trees": 5} if make is estimators.forest else {"rounds": 5}
-    model = estimators.fit(make(["a", "b"], "y", depth=3, **some), df, ["a", "b"], "y")
+    model = estimators.fit(make(["a", "b"], "y", depth=3, **some), df, ["a", "b"], "y", single=1000)
+    assert len(model.stages) == 4
     new = spark.createDataFrame([(-50.0, 9.0), (100.0, None), (1e9, 0.0), (900.0, 1.0)], "a double, b double")
     assert [r["prediction"] for r in estimators.score(model, new, ["a", "b"]).collect()] == [0.0, 0.0, 1.0, 1.0]
 
