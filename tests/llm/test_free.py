@@ -14,7 +14,7 @@ import pytest
 from llm.conftest import edited, odd_rows, prose
 from pyspark.sql import functions as F
 
-from tidemark.llm import factorisation, packing, toxicity, warc
+from tidemark.llm import factorisation, gamma_sampling, packing, toxicity, warc
 from tidemark.llm.gamma_sampling import fingerprints, likeness
 
 # Archives --------------------------------------------------------------------------------------------------------
@@ -240,6 +240,27 @@ def test_fingerprints_where_most_rows_have_no_id(spark):
     assert [r.near_next is not None for r in got if r.doc_id == -(2**63)] == [True]
 
 
+@pytest.mark.parametrize("names", [("doc_id", "text"), ("id", "body"), ("renamed", "body")])
+def test_texts_are_shuffled_once_for_both_reads(spark, tmp_path, monkeypatch, names):
+    """The beginnings for the documents before are taken from the shuffle that the documents themselves are read from."""
+    rows = [(i if i % 9 else None, prose(i, 40)) for i in range(60)] + [(5, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d")).toDF(*names)
+    if names[0] == "renamed":  # neither column can be null
+        docs = docs.select(F.coalesce("renamed", F.lit(99)).alias("renamed"), F.coalesce("body", F.lit("")).alias("body"))
+    plans, write = [], gamma_sampling.staged
+
+    def watched(df, name):
+        if name == "gamma-signed":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0])
+        return write(df, name)
+
+    monkeypatch.setattr(gamma_sampling, "staged", watched)
+    assert fingerprints(docs, 4, *names).count() == len(rows)
+    assert [plan.count("ReusedExchange") for plan in plans] == [1]
+
+
 def test_likeness_counts_equal_samples(spark):
     row = spark.createDataFrame([("00010002", "00010003")], "a string, b string").select(likeness(F.col("a"), F.col("b"), 2)).first()
     assert row[0] == 0.5

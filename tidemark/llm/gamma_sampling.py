@@ -118,17 +118,19 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
     chars = after.agg(F.sum("n_chars")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
 
-    # Whole texts are shuffled once, by id; the beginnings go on to the documents before.
-    dealt = own.repartition(parts, "doc_id")
-    heads = dealt.join(after.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "n_chars"), "doc_id")
-    heads = heads.select("before", F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")).alias("head"))
+    # Whole texts are shuffled once, by id; the beginnings go on to the documents before.  Both reads share the shuffle only if
+    # their plans are equal.  Names other than the input's keep them so: an alias of the same name may be dropped from one of them.
+    key, body = f"{id_col}_dealt", f"{text_col}_dealt"
+    dealt = own.select(F.col("doc_id").alias(key), F.col("text").alias(body)).repartition(parts, key)
+    heads = dealt.join(after.select(F.col("next_id").alias(key), F.col("doc_id").alias("before"), "n_chars"), key)
+    heads = heads.select("before", F.substring(body, F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")).alias("head"))
     heads = heads.repartition(parts, "before").groupBy("before").agg(F.min("head").alias("head"))
-    both = dealt.join(heads, dealt["doc_id"] == heads["before"], "left")
+    both = dealt.join(heads, dealt[key] == heads["before"], "left").withColumnRenamed(body, "text")
     # Rows without an id would share one key; each goes by a number of its own, which only meets itself.
     chars = nameless.agg(F.sum(F.char_length("text"))).first()[0] or 0
     alone = nameless.withColumn("row", F.monotonically_increasing_id()).withColumn("head", F.lit(""))
     alone = alone.repartition(max(parts, -(-chars // PART_CHARS)), "row")
-    signed = _signed(both.withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"], samples)
+    signed = _signed(both.withColumn("row", F.monotonically_increasing_id()), [key, "row"], samples).withColumnRenamed(key, "doc_id")
     signed = signed.unionByName(_signed(alone, ["row"], samples).withColumn("doc_id", F.lit(None).cast("long")))
     signed = staged(signed.drop("row"), "gamma-signed")
     nexts = after.select("doc_id", "next_id").join(
