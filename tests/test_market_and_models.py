@@ -281,3 +281,74 @@ def test_candidates_are_fitted_side_by_side(spark):
 
     found, fitted = repeat.train_candidates(spark.createDataFrame(rows, names), {"one": make, "two": make})
     assert list(fitted) == ["one", "two"] and [r["model"] for r in found.collect()] == ["one", "two"]
+
+
+def many_rows(spark):
+    """Some 86 different rows, each up to ten times, with missing values."""
+    return spark.sql(
+        "SELECT IF(k % 11 = 0, NULL, k % 9 + 0.5D) AS a, IF(k % 13 = 0, DOUBLE('NaN'), k % 7 * 100.0D) AS b, IF((k * 37) % 90 < k, 1, 0) AS y "
+        "FROM (SELECT id % 90 AS k, id FROM range(900)) WHERE id < 90 * (1 + k % 10)"
+    )
+
+
+def test_equal_rows_reach_the_regression_once_with_all_their_weight(spark):
+    """Above ``single`` rows the learner sees different rows alone, and fits, fills and scales as on single rows."""
+    df, names = many_rows(spark), ["a", "b"]
+    plain = estimators.fit(estimators.logistic(names, "y"), df, names, "y")
+    merged = estimators.fit(estimators.logistic(names, "y"), df, names, "y", single=10)
+    assert plain.stages[-1].summary.predictions.count() == df.count() > 400
+    assert merged.stages[-1].summary.predictions.count() == df.distinct().count() == 86
+    assert merged.stages[-1].coefficients.toArray() == pytest.approx(plain.stages[-1].coefficients.toArray(), rel=1e-5)
+    assert rows(merged.stages[0].surrogateDF) == rows(plain.stages[0].surrogateDF)
+    for part in ("mean", "std"):
+        assert getattr(merged.stages[2], part).toArray() == pytest.approx(getattr(plain.stages[2], part).toArray(), rel=1e-12)
+
+
+def test_learners_without_weights_keep_single_rows(spark):
+    df, names = many_rows(spark), ["a", "b"]
+    model = estimators.fit(estimators.logistic(names, "y", weighted=False), df, names, "y", single=10)
+    assert model.stages[-1].summary.predictions.count() == df.count()
+
+
+@pytest.mark.parametrize("make", [estimators.forest, estimators.boosted])
+def test_cells_of_bins_are_scored_for_all_their_rows(spark, make):
+    """Scores by cell are the model's own, for each row and counted; no row is lost."""
+    df, names = many_rows(spark), ["a", "b"]
+    some = {"trees": 4} if make is estimators.forest else {"rounds": 3}
+    model = estimators.fit(make(names, "y", depth=3, **some), df, names, "y", single=10)
+    own = model.transform(df).select("y", F.col("prediction"), estimators.vector_to_array("probability")[1].alias("p"))
+    shown = estimators.score(model, df, names)
+    assert shown.columns == ["a", "b", "y", "probability_1", "prediction"]
+    assert "UDF" not in shown._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert rows(shown.select("y", "prediction", "probability_1")) == rows(own)
+    counted = estimators.score_counts(model, estimators.equal_rows(df, names, "y"), "y")
+    want = {(r["y"], r["p"]): r["count"] for r in own.groupBy("y", "p").count().collect()}
+    assert {(r["y"], r["probability_1"]): r[estimators.ROWS] for r in counted.collect()} == want
+
+
+def test_candidates_of_merged_rows_are_measured_over_all_rows(spark, snaps):
+    """The regression's measures are those of single rows; a refit on rows at hand is a refit on the parts."""
+    twice = snaps.unionByName(snaps.where("user_id % 3 = 0"))
+    one = {"Logistic Regression": repeat.CANDIDATES["Logistic Regression"]}
+    merged, fitted = repeat.train_candidates(twice, one, single=10)
+    plain, _ = repeat.train_candidates(twice, one)
+    got, want = merged.head().asDict(), plain.head().asDict()
+    assert all(got[c] == pytest.approx(want[c], rel=1e-6) for c in got if not isinstance(got[c], str))
+    train, validation, test = splits.split_by_dates(twice)
+    whole = estimators.score(fitted["Logistic Regression"].model, test, snapshots.REPEAT_FEATURES)
+    decided = metrics.class_metrics(repeat.decide(whole, got["decision_threshold"]), snapshots.TARGET, "predicted", ["0", "1"], "1").head()
+    assert (decided["accuracy"], decided["f1"]) == (got["accuracy"], got["f1"])
+    seen = fitted["Logistic Regression"].seen
+    assert seen.agg(F.sum(estimators.ROWS)).head()[0] == train.count() + validation.count() > seen.count()
+    again = [repeat.refit(one["Logistic Regression"], twice, seen=s).stages[-1].coefficients.toArray() for s in (seen, None)]
+    assert again[0] == pytest.approx(again[1], rel=1e-9)
+
+
+def test_kept_places_give_the_same_forest(spark, snaps, monkeypatch):
+    """Keeping rows' places in the trees, or walking the trees at every level: a matter of time alone."""
+    make = estimators.forest(snapshots.REPEAT_FEATURES, snapshots.TARGET, trees=5, depth=4, min_leaf=5)
+    kept = estimators.fit(make, snaps, snapshots.REPEAT_FEATURES, snapshots.TARGET).stages[-1]
+    monkeypatch.setattr(estimators, "KEPT_PLACES", 0)
+    walked = estimators.fit(make, snaps, snapshots.REPEAT_FEATURES, snapshots.TARGET).stages[-1]
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
